@@ -126,16 +126,18 @@ def check_content(
     language: str = "language",
     answer: str = "legitimacy",
     response: str | None = None,
+    chars: str | None = None,
 ) -> DataFrame:
     """Add ``content_validation`` for documents whose text was extracted.
 
     Expects ``extraction`` and ``reception``; ``answer`` is the parsed verdict struct
     (is_legitimate, confidence, reasoning), NULL when there was none or it was unusable.
-    ``response`` names the raw answer, shown in the reason of unusable ones.
+    ``response`` names the raw answer, shown in the reason of unusable ones; ``chars`` a
+    column with the text's length where the text itself is kept elsewhere.
     """
     rules = rules or ContentRules()
-    text = F.col("extraction.text")
-    chars = tx.char_count(text)
+    length = F.col(chars) if chars else tx.char_count(F.col("extraction.text"))
+    chars = length
     spoken = F.coalesce(F.col(language), F.lit("unknown"))
     verdict = F.col(answer)
     low = F.col(f"{answer}.confidence") < F.lit(rules.slm_confidence_threshold)
