@@ -85,7 +85,9 @@ WHITESPACE_CHARS = (
     "           "
     "    　"
 )
-PAGE_NUMBER_PATTERN = r"(?iU)^(p[aá]gina\s+)?\d+(\s*/\s*\d+)?\z"
+PAGE_NUMBER_PATTERN = (
+    r"(?iU)^(p[aá]gina[\s\x1c-\x1f]+)?\d+([\s\x1c-\x1f]*/[\s\x1c-\x1f]*\d+)?\z"
+)
 TABLE_BORDER_PATTERN = r"(?U)^[\s\x1c-\x1f\-]+\z"
 WHITESPACE_RUN_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 NOISE_PATTERN = (

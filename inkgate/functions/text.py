@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgate import fixed_values as fv
 
@@ -66,7 +67,7 @@ def is_gibberish(line: Column, *, ratio: float, min_tokens: int) -> Column:
     return (F.size(words(line)) >= min_tokens) & (short_word_ratio(line) >= ratio)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -71,14 +70,3 @@ def watch(
         .start()
     )
 
-
-def within_window(docs: DataFrame, days: int) -> DataFrame:
-    """Hash duplicates dropped only within ``days`` of the first; 0 means for ever.
-
-    Needs the event-time column ``ingested_at``.
-    """
-    if days == 0:
-        return docs.dropDuplicates(["sha256"])
-    return docs.withWatermark("ingested_at", f"{days} days").dropDuplicatesWithinWatermark(
-        ["sha256"]
-    )
