@@ -55,7 +55,7 @@ pairs AS (
   SELECT job_id, node, min("timestamp") FILTER (WHERE status = 'started') AS s,
          max("timestamp") FILTER (WHERE status IN ('passed', 'failed')) AS f
   FROM node_events GROUP BY 1, 2)
-SELECT job_id, node, epoch_ms(f) - epoch_ms(s) AS duration_ms FROM pairs
+SELECT job_id, node, CAST(trunc((epoch_us(f) - epoch_us(s)) / 1000.0) AS BIGINT) AS duration_ms FROM pairs
 WHERE s IS NOT NULL AND f IS NOT NULL
 """
 
@@ -90,7 +90,7 @@ def stream_until_done(spark: SparkSession, folder: str) -> DataFrame:
             T.StructField("status", T.StringType()),
         ]
     )
-    return tables.read_table(spark, root, "delivered", schema)
+    return tables.read_table(spark, root, "delivered", schema).select(*schema.names)
 
 
 QUERIES = {

@@ -104,10 +104,9 @@ def detect_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DETECT_LANGUAGE = f"""
-WITH positions AS (
-  SELECT doc_id, lang, lower(text) AS t, unnest(generate_series(1, length(text) - 2)) AS i
-  FROM documents),
-grams AS (SELECT doc_id, lang, substring(t, i, 3) AS gram FROM positions),
+WITH grams AS (
+  SELECT doc_id, lang, unnest(regexp_extract_all(substring(lower(text), start), '(?s)...')) AS gram
+  FROM documents, (SELECT unnest([1, 2, 3]) AS start) s),
 counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY 1, 2),
 top AS (
   SELECT * FROM counts QUALIFY

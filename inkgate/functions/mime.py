@@ -8,25 +8,44 @@ from pyspark.sql import functions as F
 from inkgate import fixed_values as fv
 
 
-def _hex(value: str) -> Column:
-    return F.unhex(F.lit(value))
+# Leading bytes looked at, as hex; no signature at the start of a file is longer.
+_HEAD_BYTES = max(len(magic) // 2 for _, offset, magic in fv.SIGNATURES if offset == 0)
 
 
-def _has_magic(content: Column, offset: int, magic: str) -> Column:
-    return F.substring(content, offset + 1, len(magic) // 2) == _hex(magic)
+def _by_length() -> dict[int, dict[str, str]]:
+    """Signatures at the start of a file, by their number of bytes. None is the beginning of
+    another one, so at most one matches."""
+    tables: dict[int, dict[str, str]] = {}
+    for mime, offset, magic in fv.SIGNATURES:
+        if offset == 0:
+            tables.setdefault(len(magic) // 2, {})[magic] = mime
+    for magic in fv.ZIP_SIGNATURES:
+        tables.setdefault(len(magic) // 2, {})[magic] = fv.ZIP_MIME
+    return tables
 
 
-def detect_mime(content: Column) -> Column:
-    """First matching signature; unrecognised bytes get the generic type."""
-    is_zip = F.lit(False)
-    for magic in fv.ZIP_SIGNATURES:
-        is_zip = is_zip | _has_magic(content, 0, magic)
-    zip_kind = F.lit(fv.ZIP_MIME)
-    for mime, folder in reversed(fv.ZIP_MEMBER_FOLDERS):
-        in_folder = F.contains(content, F.encode(F.lit(folder), "UTF-8"))
-        zip_kind = F.when(in_folder, F.lit(mime)).otherwise(zip_kind)
+def _constant_map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(part) for entry in entries.items() for part in entry])
 
-    verdict = F.when(is_zip, zip_kind)
-    for mime, offset, magic in fv.SIGNATURES:
-        verdict = verdict.when(_has_magic(content, offset, magic), F.lit(mime))
-    return verdict.otherwise(F.lit(fv.UNKNOWN_MIME))
+
+def detect_mime(content: Column) -> Column:
+    """The matching signature's type; unrecognised bytes get the generic type.
+
+    A few lookups in constant maps: small enough to be repeated in a plan when a filter on a
+    verdict is pushed down to the scan.
+    """
+    head = F.hex(F.substring(content, 1, _HEAD_BYTES))
+    lookups = [
+        F.try_element_at(_constant_map(table), F.substring(head, 1, 2 * n_bytes))
+        for n_bytes, table in sorted(_by_length().items(), reverse=True)
+    ]
+    elsewhere = [
+        F.when(F.substring(content, offset + 1, len(magic) // 2) == F.unhex(F.lit(magic)), mime)
+        for mime, offset, magic in fv.SIGNATURES
+        if offset > 0
+    ]
+    mime = F.coalesce(*lookups, *elsewhere, F.lit(fv.UNKNOWN_MIME))
+    members = F.when(mime != fv.ZIP_MIME, mime)
+    for kind, folder in fv.ZIP_MEMBER_FOLDERS:
+        members = members.when(F.contains(content, F.encode(F.lit(folder), "UTF-8")), kind)
+    return members.otherwise(fv.ZIP_MIME)

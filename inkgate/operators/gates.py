@@ -15,8 +15,15 @@ from inkgate.functions import text as tx
 from inkgate.functions.mime import detect_mime
 
 
-def _none_of_these() -> Column:
-    return F.lit(False)
+def _listed(table: dict[str, tuple[str, ...]], key: Column) -> Column:
+    """The list a rule table has for a key, empty when it has none."""
+    nothing = F.array().cast("array<string>")
+    if not table:
+        return nothing
+    entries = []
+    for name, values in table.items():
+        entries += [F.lit(name), F.array(*[F.lit(value) for value in values])]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), key), nothing)
 
 
 def receive(
@@ -50,12 +57,9 @@ def receive(
 def format_rule(filename: Column, mime: Column, rules: FormatRules) -> Column:
     """accept / reject / manual_review / slm_escalate from type and extension alone."""
     suffix = tx.file_suffix(filename)
-    known_mismatch = _none_of_these()
-    for odd_mime, suffixes in rules.known_mismatches.items():
-        known_mismatch = known_mismatch | ((mime == odd_mime) & suffix.isin(*suffixes))
-    wrong_suffix = _none_of_these()
-    for known_mime, suffixes in rules.mime_to_extensions.items():
-        wrong_suffix = wrong_suffix | ((mime == known_mime) & ~suffix.isin(*suffixes))
+    expected = _listed(rules.mime_to_extensions, mime)
+    known_mismatch = F.array_contains(_listed(rules.known_mismatches, mime), suffix)
+    wrong_suffix = (F.size(expected) > 0) & ~F.array_contains(expected, suffix)
     disabled = mime.isin(*rules.disabled_mime_types) | suffix.isin(*rules.disabled_extensions)
     return (
         F.when(disabled, "reject")
@@ -70,10 +74,8 @@ def format_rule(filename: Column, mime: Column, rules: FormatRules) -> Column:
 
 def expected_extensions(mime: Column, rules: FormatRules) -> Column:
     """Usual extensions of a type as a comma list, ``unknown`` when there are none."""
-    listed = F.when(F.lit(False), "")
-    for known_mime, suffixes in rules.mime_to_extensions.items():
-        listed = listed.when(mime == known_mime, ", ".join(suffixes))
-    return listed.otherwise("unknown")
+    listed = F.array_join(_listed(rules.mime_to_extensions, mime), ", ")
+    return F.coalesce(F.nullif(listed, F.lit("")), F.lit("unknown"))
 
 
 def check_format(

@@ -114,6 +114,13 @@ def _blocked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _cogrouped(left: DataFrame, right: DataFrame):
+    """Both sides by block; fresh names keep the sides apart when both come from one table."""
+    grid = ["bucket", "lpart", "rpart"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left.groupBy(*grid).cogroup(right.groupBy(*grid))
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["vec"].to_numpy()).astype(np.float64)
 
@@ -150,11 +157,9 @@ def vector_matcher(
             left.select("id", "arrival", "bucket"), right.select("id", "arrival", "bucket")
         )
         lhs, rhs = lhs.join(left_vectors, "id"), rhs.join(right_vectors, "id")
-        grid = ["bucket", "lpart", "rpart"]
         # a pair that meets in several cells is listed once per cell
         return (
-            lhs.groupBy(*grid)
-            .cogroup(rhs.groupBy(*grid))
+            _cogrouped(lhs, rhs)
             .applyInPandas(compare, _PAIR_SCHEMA)
             .dropDuplicates(["a", "b"])
         )
@@ -189,8 +194,7 @@ def _best_in_blocks(probes: DataFrame, store: DataFrame) -> DataFrame:
         return found[found["cosine"] > -2.0]
 
     lhs, rhs = _blocked(store, probes)
-    grid = ["bucket", "lpart", "rpart"]
-    return lhs.groupBy(*grid).cogroup(rhs.groupBy(*grid)).applyInPandas(best, _BEST_SCHEMA)
+    return _cogrouped(lhs, rhs).applyInPandas(best, _BEST_SCHEMA)
 
 
 def _keep_best(found: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def step_durations(events: DataFrame) -> DataFrame:
         .agg(started.alias("started_at"), finished.alias("finished_at"))
         .where(F.col("started_at").isNotNull() & F.col("finished_at").isNotNull())
         .withColumn(
-            "duration_ms", F.unix_millis("finished_at") - F.unix_millis("started_at")
+            "duration_ms",
+            F.expr("(unix_micros(finished_at) - unix_micros(started_at)) div 1000"),
         )
     )
 
