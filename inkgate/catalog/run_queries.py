@@ -45,7 +45,7 @@ _EXTRACTED_LAYER = f"({b.TEXT_LAYER})"
 INGEST_CTES = f"""{gq.FORMAT_CTES},
 layered AS (SELECT *, CASE WHEN f_passed THEN {_EXTRACTED_LAYER} END AS layer FROM formatted),
 extracted AS (
-  SELECT * EXCLUDE (text), 
+  SELECT * EXCLUDE (text),
     CASE WHEN NOT f_passed THEN NULL
          WHEN length(layer) >= {fv.MIN_TEXT_FOR_OCR} THEN 'text_layer' ELSE 'ocr' END AS extractor_used,
     CASE WHEN NOT f_passed THEN NULL
@@ -59,7 +59,7 @@ answered AS (
     CASE WHEN n_chars % 11 <> 0 THEN coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0 END AS legit,
     CASE WHEN n_chars % 11 <> 0 THEN CAST({b.CONFIDENCE} AS DOUBLE) END AS confidence,
     CASE WHEN n_chars % 11 <> 0 THEN 'label' END AS reasoning
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  FROM documents LEFT JOIN labels USING (doc_id)),
 with_kind AS (
   SELECT u.*, a.response, a.legit, a.confidence, a.reasoning,
     CASE WHEN u.text IS NOT NULL THEN

@@ -39,7 +39,7 @@ _PAGE_SQL = (
     rf"(?i)^(p[aá]gina[{b.WS_CLASS}]+)?\p{{Nd}}+([{b.WS_CLASS}]*/[{b.WS_CLASS}]*\p{{Nd}}+)?$"
 )
 CLEAN_CTES = f"""{LINES_CTE},
-kept AS (
+kept_lines AS (
   SELECT doc_id, pos,
     regexp_replace(regexp_replace(line, '{_NOISE_SQL}', '', 'g'), ' {{2,}}', ' ', 'g') AS line
   FROM measured
@@ -51,7 +51,7 @@ cleaned AS (
   SELECT d.doc_id, d.text, coalesce(k.cleaned_text, '') AS cleaned_text
   FROM documents d LEFT JOIN (
     SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS cleaned_text
-    FROM kept WHERE line <> '' GROUP BY doc_id) k USING (doc_id))"""
+    FROM kept_lines WHERE line <> '' GROUP BY doc_id) k USING (doc_id))"""
 CLEAN_TEXT = f"WITH {CLEAN_CTES} SELECT doc_id, cleaned_text FROM cleaned"
 
 
