@@ -56,7 +56,7 @@ SELECT {b.DOC_JOB}, 'entities',
 
 
 def parse_responses(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select(
+    docs = b.documents(spark, folder).select(
         "doc_id", F.expr(b.LEGIT_RESPONSE).alias("response")
     )
     parsed = answers.parse_legitimacy(docs, "response")

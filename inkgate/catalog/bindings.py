@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgate import fixed_values as fv
+from inkgate.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -21,6 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 # --- uploads ----------------------------------------------------------------------------------
 # Every third length makes a PDF, so equal texts make equal files.
 IS_PDF = "(n_chars % 3 = 0)"
@@ -45,7 +50,7 @@ TEXT_LAYER_SPARK = TEXT_LAYER.replace(", 'g')", ")")
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """(job_id, arrival, filename, content, language, text, n_chars) of ``documents``."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.expr(DOC_JOB).alias("job_id"),
         F.col("doc_id").alias("arrival"),
         F.expr(DOC_NAME).alias("filename"),
@@ -57,7 +62,7 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages"), "page_id").select(
         F.expr(PAGE_JOB).alias("job_id"),
         F.expr(PAGE_ARRIVAL).alias("arrival"),
         F.expr(PAGE_NAME).alias("filename"),

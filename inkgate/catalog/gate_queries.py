@@ -46,7 +46,7 @@ _LEADS = (
 
 
 def mime_sniff(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents")
+    docs = b.documents(spark, folder)
     lead = F.lit("")
     for i, magic in enumerate(_LEADS):
         lead = F.when(F.col("n_chars") % len(_LEADS) == i, F.lit(magic)).otherwise(lead)
@@ -162,7 +162,7 @@ FROM formatted
 
 def _attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Long attempts table: rank 1 the text layer, rank 2 the recogniser."""
-    docs = b.table(spark, folder, "documents")
+    docs = b.documents(spark, folder)
     layer = F.expr(b.TEXT_LAYER_SPARK)
     rows = F.array(
         F.struct(
@@ -212,7 +212,7 @@ FROM picked
 
 def content_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Content verdicts of the documents, with the varied answers of ``LEGIT_RESPONSE``."""
-    docs = b.table(spark, folder, "documents").select(
+    docs = b.documents(spark, folder).select(
         F.expr(b.DOC_JOB).alias("job_id"),
         F.col("lang").alias("language"),
         F.expr(b.LEGIT_RESPONSE).alias("response"),

@@ -11,7 +11,7 @@ from inkgate.operators import cleaning, entities, language
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select("doc_id", "text")
+    docs = b.documents(spark, folder).select("doc_id", "text")
     return cleaning.clean_text(docs).select("doc_id", "cleaned_text")
 
 
@@ -57,7 +57,7 @@ CLEAN_TEXT = f"WITH {CLEAN_CTES} SELECT doc_id, cleaned_text FROM cleaned"
 
 def cleaning_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Characters in and out of cleaning by language."""
-    docs = b.table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = b.documents(spark, folder).select("doc_id", "lang", "text")
     cleaned = cleaning.clean_text(docs)
     return cleaned.groupBy("lang").agg(
         F.count("*").alias("docs"),
@@ -75,7 +75,7 @@ FROM cleaned c JOIN documents USING (doc_id) GROUP BY lang
 
 
 def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.repeated_lines(b.table(spark, folder, "documents"))
+    return cleaning.repeated_lines(b.documents(spark, folder))
 
 
 REPEATED_LINES = f"""
@@ -86,7 +86,7 @@ HAVING count(*) >= {fv.REPEATED_LINE_MIN_COUNT}
 
 
 def gibberish_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = cleaning.gibberish_lines(b.table(spark, folder, "documents"))
+    found = cleaning.gibberish_lines(b.documents(spark, folder))
     return found.select("doc_id", "line_no", "line", F.round("short_ratio", 6).alias("short_ratio"))
 
 
@@ -98,7 +98,7 @@ FROM measured WHERE {_GIBBERISH}
 
 
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = b.documents(spark, folder).select("doc_id", "text", "lang")
     profiles = language.learn_profiles(docs)
     return language.detect_language(docs, profiles)
 
@@ -130,7 +130,7 @@ FROM documents d LEFT JOIN best USING (doc_id)
 
 
 def legitimacy_signals(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select("doc_id", F.upper("text").alias("text"))
+    docs = b.documents(spark, folder).select("doc_id", F.upper("text").alias("text"))
     counted = entities.signal_counts(docs)
     return counted.select(
         "doc_id",
@@ -151,7 +151,7 @@ FROM documents
 
 
 def rule_entities(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents").select("doc_id", "text")
+    docs = b.documents(spark, folder).select("doc_id", "text")
     found = docs.withColumn("e", entities.rule_entities(F.col("text")))
     return found.select(
         "doc_id", "e.doc_type_hint", "e.number", "e.year", "e.issuing_body", "e.article_count"

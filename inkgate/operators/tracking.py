@@ -172,7 +172,9 @@ def review_queue(jobs: DataFrame, steps: DataFrame, *step_columns: str) -> DataF
     waiting = jobs.where(F.col("status") == "review").select(
         "job_id", "filename", "status", "rejection_reason", "created_at"
     )
-    nested = ordered_steps(steps, *step_columns)
+    # steps of other jobs are left out before any list is built
+    wanted = steps.join(waiting.select("job_id"), "job_id", "left_semi")
+    nested = ordered_steps(wanted, *step_columns)
     empty = F.array().cast(nested.schema["document_steps"].dataType)
     return waiting.join(nested, "job_id", "left").withColumn(
         "document_steps", F.coalesce("document_steps", empty)

@@ -53,3 +53,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/inkgate/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Deal a freshly read table out to all cores when it comes in fewer splits than that.
+
+    Work inside rows (hashing, cleaning, word lists) then uses the whole cluster. A large
+    table has more splits than there are cores and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
