@@ -50,7 +50,11 @@ TEXT_LAYER_SPARK = TEXT_LAYER.replace(", 'g')", ")")
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """(job_id, arrival, filename, content, language, text, n_chars) of ``documents``."""
-    return documents(spark, folder).select(
+    return as_document_files(documents(spark, folder))
+
+
+def as_document_files(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.expr(DOC_JOB).alias("job_id"),
         F.col("doc_id").alias("arrival"),
         F.expr(DOC_NAME).alias("filename"),
@@ -62,7 +66,11 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"), "page_id").select(
+    return as_page_files(spread(table(spark, folder, "pages"), "page_id"))
+
+
+def as_page_files(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.expr(PAGE_JOB).alias("job_id"),
         F.expr(PAGE_ARRIVAL).alias("arrival"),
         F.expr(PAGE_NAME).alias("filename"),

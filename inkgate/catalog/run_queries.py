@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgate import fixed_values as fv
@@ -15,12 +17,18 @@ from inkgate.operators import tracking
 from inkgate.plans import persist
 from inkgate.plans.enrich import EnrichRun, accepted_documents, enrich
 from inkgate.plans.ingest import ingest
+from inkgate.session import shared_folder
+from inkgate.sources import tables
+from inkgate.streaming.arrivals import ingest_stream
+
+
+def extractors() -> list[tuple[str, Column]]:
+    return [("text_layer", F.expr(b.TEXT_LAYER_SPARK)), ("ocr", F.col("text"))]
 
 
 def _run(spark: SparkSession, folder: str) -> DataFrame:
-    extractors = [("text_layer", F.expr(b.TEXT_LAYER_SPARK)), ("ocr", F.col("text"))]
     return ingest(
-        b.all_files(spark, folder), extractors, b.run_responses(spark, folder)
+        b.all_files(spark, folder), extractors(), b.run_responses(spark, folder)
     ).results
 
 
@@ -256,7 +264,38 @@ SELECT {b.DOC_JOB} AS job_id, '{fv.METADATA_SOURCE}' AS source, {b.DOC_NAME} AS
 FROM documents
 """
 
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The gate as a stream over both tables, run to their end; the job table it wrote."""
+    root = f"{shared_folder(spark)}/inkgate/ingest-{uuid.uuid4().hex}"
+
+    def stream(name: str) -> DataFrame:
+        schema = b.table(spark, folder, name).schema
+        reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(folder)
+
+    uploads = b.as_document_files(stream("documents")).unionByName(
+        b.as_page_files(stream("pages"))
+    )
+    ingest_stream(
+        uploads, root, f"{root}/checkpoint", extractors(), b.run_responses(spark, folder)
+    ).awaitTermination()
+    jobs = spark.read.parquet(tables.table_path(root, "jobs"))
+    return jobs.select("job_id", "status", *tracking.PATCH_FIELDS)
+
+
+STREAM_INGEST = f"""
+WITH RECURSIVE {INGEST_CTES}
+SELECT job_id, status, nullif(rejection_reason, '') AS rejection_reason,
+  CASE WHEN NOT r_passed THEN '{fv.NODE_RECEPTION}' WHEN NOT f_passed THEN '{fv.NODE_FORMAT}'
+       WHEN kind <> 'pass' THEN '{fv.NODE_CONTENT}'
+       WHEN duplicate_type <> '' THEN '{fv.NODE_DUPLICATE}' END AS failed_at_node,
+  CASE WHEN status = 'review' THEN '{fv.REVIEW_PENDING}' END AS review_action_needed,
+  CASE WHEN status <> 'accepted' THEN nullif(text, '') END AS extracted_text
+FROM ingested
+"""
+
 QUERIES = {
+    "stream_ingest": stream_ingest,
     "ingest_cascade": ingest_cascade,
     "steps_long": steps_long,
     "audit_rows": audit_rows,
@@ -265,6 +304,7 @@ QUERIES = {
     "enrich_metadata": enrich_metadata,
 }
 ORACLES = {
+    "stream_ingest": STREAM_INGEST,
     "ingest_cascade": INGEST_CASCADE,
     "steps_long": STEPS_LONG,
     "audit_rows": AUDIT_ROWS,

@@ -34,12 +34,29 @@ def as_uploads(binary_files: DataFrame) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, folder: str, *, pattern: str | None = None) -> DataFrame:
-    """Every file of a folder as one upload."""
+def read_files(
+    spark: SparkSession,
+    folder: str,
+    *,
+    pattern: str | None = None,
+    listing: DataFrame | None = None,
+) -> DataFrame:
+    """Every file of a folder as one upload.
+
+    Spark's file sources leave out files of length zero. Where those matter (they are to be
+    rejected as empty), pass a ``listing(path, modificationTime, length)`` of the folder, such
+    as a storage inventory; its empty files are added.
+    """
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return as_uploads(reader.load(folder))
+    found = reader.load(folder)
+    if listing is not None:
+        empty = listing.where(F.col("length") == 0).select(
+            "path", "modificationTime", "length", F.lit(b"").alias("content")
+        )
+        found = found.unionByName(empty)
+    return as_uploads(found)
 
 
 def stream_files(

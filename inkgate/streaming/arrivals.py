@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkgate.config import GateRules
 from inkgate.operators.duplicates import duplicate_control
+from inkgate.plans.ingest import ingest
+from inkgate.plans.persist import finalize_jobs, tracking_tables
+from inkgate.session import cut
 from inkgate.sources import tables
 
 STORE_SCHEMA = T.StructType(
@@ -59,6 +62,54 @@ def control_stream(
     )
 
 
+def ingest_batch(
+    uploads: DataFrame,
+    batch_id: int,
+    root: str,
+    extractors: Sequence[tuple[str, Column]],
+    responses: DataFrame,
+    rules: GateRules,
+) -> None:
+    """Judge one micro-batch of uploads and write its tables under ``root``.
+
+    uploads(job_id, arrival, filename, content, language, ...) are compared with each other
+    and with everything earlier batches accepted. Every table keeps the batch as a partition
+    that a replay overwrites.
+    """
+    spark = uploads.sparkSession
+    store = tables.read_before(spark, root, "accepted", STORE_SCHEMA, batch_id)
+    run = ingest(
+        uploads,
+        extractors,
+        responses,
+        rules,
+        stored_hashes=store,
+        stored_features=store.select("id", "arrival", "words"),
+    )
+    results = cut(run.results, "results")
+    tables.append_batch(run.accepted_features, root, "accepted", batch_id)
+    tables.append_batch(finalize_jobs(results), root, "jobs", batch_id)
+    for name, table in tracking_tables(results).items():
+        tables.append_batch(table, root, name, batch_id)
+
+
+def ingest_stream(
+    uploads: DataFrame,
+    root: str,
+    checkpoint: str,
+    extractors: Sequence[tuple[str, Column]],
+    responses: DataFrame,
+    rules: GateRules | None = None,
+) -> StreamingQuery:
+    """The whole gate over uploads as they arrive, until the source is drained."""
+    rules = rules or GateRules()
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, root, extractors, responses, rules)
+
+    return watch(uploads, judge, checkpoint)
+
+
 def watch(
     uploads: DataFrame, judge: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
