@@ -32,19 +32,20 @@ def from_attempts(
 ) -> DataFrame:
     """(key, rank, extractor, text, error) rows -> one ``extraction`` struct per key.
 
-    The winner is the first working attempt with enough text, else the last working one.
-    Only rank, extractor and length decide, so both picks combine map-side.
+    The winner is the first working attempt with enough text, else the last working one. One
+    sort key says both, so each partial result holds a single text.
     """
     rules = rules or ExtractionRules()
     worked = F.col("error").isNull() & F.col("text").isNotNull()
     pick = F.struct("text", "extractor")
     enough = worked & (F.length("text") >= rules.min_text_for_ocr)
-    chosen = attempts.groupBy(key).agg(
-        F.coalesce(
-            F.min_by(F.when(enough, pick), F.when(enough, F.col("rank"))),
-            F.max_by(F.when(worked, pick), F.when(worked, F.col("rank"))),
-        ).alias("_best")
+    preference = F.when(
+        worked,
+        F.when(enough, F.struct(F.lit(0).alias("late"), F.col("rank").alias("rank"))).otherwise(
+            F.struct(F.lit(1).alias("late"), (-F.col("rank")).alias("rank"))
+        ),
     )
+    chosen = attempts.groupBy(key).agg(F.min_by(pick, preference).alias("_best"))
     return chosen.select(
         key, _result(F.col("_best.text"), F.col("_best.extractor"), rules).alias("extraction")
     )

@@ -29,9 +29,9 @@ ANGLE_SLACK = 1e-6
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(id, arrival, vec) with unit length; vectors without length have no neighbours."""
+    """(id, vec) with unit length; vectors without length have no neighbours."""
     return vectors.where(norm(F.col("vec")) > 0).select(
-        "id", "arrival", unit(F.col("vec")).alias("vec")
+        "id", unit(F.col("vec")).alias("vec")
     )
 
 
@@ -53,14 +53,14 @@ def _angles(block: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def cell_members(units: DataFrame, pivots: np.ndarray | None, threshold: float) -> DataFrame:
-    """(id, arrival, n_members, bucket): the home cell and the lower-numbered cells visited.
+    """(id, n_members, bucket): the home cell and the lower-numbered cells visited.
 
     Of two vectors at home in different cells one visits the other's, so each similar pair
     shares a cell.
     """
     if pivots is None:
         return units.select(
-            "id", "arrival", F.lit(1).alias("n_members"), F.lit(0).alias("bucket")
+            "id", F.lit(1).alias("n_members"), F.lit(0).alias("bucket")
         )
     reach = 2.0 * math.acos(threshold) + ANGLE_SLACK
 
@@ -75,10 +75,9 @@ def cell_members(units: DataFrame, pivots: np.ndarray | None, threshold: float)
                 [np.flatnonzero(v[: h + 1]).astype("int32") for v, h in zip(visited, homes)]
             )
 
-    placed = units.select("id", "arrival", cells("vec").alias("_cells"))
+    placed = units.select("id", cells("vec").alias("_cells"))
     return placed.select(
         "id",
-        "arrival",
         F.size("_cells").alias("n_members"),
         F.explode("_cells").alias("bucket"),
     )
@@ -134,29 +133,23 @@ _PAIR_SCHEMA = T.StructType(
 )
 
 
-def vector_matcher(
-    units: DataFrame, threshold: float, *, left_units: DataFrame | None = None
-) -> Matcher:
-    """Pairs (a, b, cosine) with cosine >= threshold, a earlier, among members of a cell."""
-    right_vectors = units.select("id", "vec")
-    left_vectors = (left_units if left_units is not None else units).select("id", "vec")
+def vector_matcher(units: DataFrame, threshold: float) -> Matcher:
+    """Pairs (a, b, cosine) with cosine >= threshold, a < b, among members of a cell."""
+    vectors = units.select("id", "vec")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
         similar = _matrix(left) @ _matrix(right).T
-        la, ra = left["arrival"].to_numpy(), right["arrival"].to_numpy()
         li, ri = left["id"].to_numpy(), right["id"].to_numpy()
         rows, cols = np.nonzero(similar >= threshold)
-        before = (la[rows] < ra[cols]) | ((la[rows] == ra[cols]) & (li[rows] < ri[cols]))
+        before = li[rows] < ri[cols]
         rows, cols = rows[before], cols[before]
         return pd.DataFrame({"a": li[rows], "b": ri[cols], "cosine": similar[rows, cols]})
 
     def match(left: DataFrame, right: DataFrame) -> DataFrame:
-        lhs, rhs = _blocked(
-            left.select("id", "arrival", "bucket"), right.select("id", "arrival", "bucket")
-        )
-        lhs, rhs = lhs.join(left_vectors, "id"), rhs.join(right_vectors, "id")
+        lhs, rhs = _blocked(left.select("id", "bucket"), right.select("id", "bucket"))
+        lhs, rhs = lhs.join(vectors, "id"), rhs.join(vectors, "id")
         # a pair that meets in several cells is listed once per cell
         return (
             _cogrouped(lhs, rhs)

@@ -23,11 +23,11 @@ from inkgate.session import cut
 @dataclass(frozen=True)
 class IngestRun:
     """``results``: one row per file with its step structs, status and reason.
-    ``accepted_features``: hashes and word sets of the accepted, for the next run's store.
+    ``to_store``: id, hash and word set of the accepted, the ``stored`` of later runs.
     """
 
     results: DataFrame
-    accepted_features: DataFrame
+    to_store: DataFrame
 
 
 def ingest(
@@ -36,15 +36,13 @@ def ingest(
     responses: DataFrame,
     rules: GateRules | None = None,
     *,
-    stored_hashes: DataFrame | None = None,
-    stored_features: DataFrame | None = None,
-    frequencies: Column | None = None,
+    stored: DataFrame | None = None,
 ) -> IngestRun:
     """Judge files(job_id, arrival, filename, content, language, ...).
 
     ``extractors`` are (name, text expression) pairs over the file columns; ``responses``
     holds (job_id, task, response) answers of the models. Order of arrival decides between
-    duplicates.
+    duplicates; ``stored`` are the documents earlier runs accepted.
     """
     rules = rules or GateRules()
     df = gates.receive(files, rules.formats)
@@ -93,12 +91,11 @@ def ingest(
         F.col("job_id").alias("id"), "arrival", F.col("reception.sha256").alias("sha256")
     )
     texts = staged.select(F.col("job_id").alias("id"), F.col("extraction.text").alias("text"))
-    verdicts, features = duplicate_control(
-        admitted.join(texts, "id"),
+    verdicts, to_store = duplicate_control(
+        admitted,
+        texts,
         threshold=rules.duplicates.cosine_similarity_threshold,
-        stored_hashes=stored_hashes,
-        stored_features=stored_features,
-        frequencies=frequencies,
+        stored=stored,
     )
 
     results = (
@@ -110,4 +107,4 @@ def ingest(
             F.when(F.col("format_validation.passed"), F.col("extraction")),
         )
     )
-    return IngestRun(gates.route(results), features)
+    return IngestRun(gates.route(results), to_store)

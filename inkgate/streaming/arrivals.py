@@ -18,7 +18,6 @@ from inkgate.sources import tables
 STORE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
-        T.StructField("arrival", T.LongType()),
         T.StructField("sha256", T.StringType()),
         T.StructField("words", T.ArrayType(T.LongType())),
     ]
@@ -33,13 +32,13 @@ def control_batch(docs: DataFrame, batch_id: int, root: str, rules: GateRules) -
     """
     spark = docs.sparkSession
     store = tables.read_before(spark, root, "accepted", STORE_SCHEMA, batch_id)
-    verdicts, features = duplicate_control(
-        docs,
+    verdicts, to_store = duplicate_control(
+        docs.select("id", "arrival", "sha256"),
+        docs.select("id", "text"),
         threshold=rules.duplicates.cosine_similarity_threshold,
-        stored_hashes=store,
-        stored_features=store.select("id", "arrival", "words"),
+        stored=store,
     )
-    tables.append_batch(features, root, "accepted", batch_id)
+    tables.append_batch(to_store, root, "accepted", batch_id)
     tables.append_batch(
         verdicts.select("id", "duplicate_control.*"), root, "verdicts", batch_id
     )
@@ -83,11 +82,10 @@ def ingest_batch(
         extractors,
         responses,
         rules,
-        stored_hashes=store,
-        stored_features=store.select("id", "arrival", "words"),
+        stored=store,
     )
     results = cut(run.results, "results")
-    tables.append_batch(run.accepted_features, root, "accepted", batch_id)
+    tables.append_batch(run.to_store, root, "accepted", batch_id)
     tables.append_batch(finalize_jobs(results), root, "jobs", batch_id)
     for name, table in tracking_tables(results).items():
         tables.append_batch(table, root, name, batch_id)

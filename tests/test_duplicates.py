@@ -62,7 +62,7 @@ def run(spark, docs, **options):
     df = spark.createDataFrame(
         [(i, i, s, t) for i, s, t in docs], "id long, arrival long, sha256 string, text string"
     )
-    verdicts, _ = duplicates.duplicate_control(df, **options)
+    verdicts, _ = duplicates.duplicate_control(df, df, **options)
     return {
         r.id: (r.duplicate_control.duplicate_type, r.duplicate_control.similarity_score)
         for r in verdicts.collect()
@@ -97,9 +97,9 @@ def test_store_of_earlier_runs(spark):
     schema = "id long, arrival long, sha256 string, text string"
     df1 = spark.createDataFrame([(i, i, s, t) for i, s, t in first], schema)
     df2 = spark.createDataFrame([(i, i, s, t) for i, s, t in second], schema)
-    v1, kept = duplicates.duplicate_control(df1)
+    v1, kept = duplicates.duplicate_control(df1, df1)
     kept = cut(kept, "store")
-    v2, _ = duplicates.duplicate_control(df2, stored_hashes=kept, stored_features=kept)
+    v2, _ = duplicates.duplicate_control(df2, df2, stored=kept)
     got = {r.id: r.duplicate_control for r in v1.unionByName(v2).collect()}
     assert {k: v.duplicate_type for k, v in got.items()} == {k: v[0] for k, v in whole.items()}
     for key, (_, score) in whole.items():
@@ -110,7 +110,7 @@ def unit_rows(rng, n, dim, centres):
     points = []
     for i in range(n):
         v = centres[rng.integers(len(centres))] + rng.normal(0, 0.35, dim)
-        points.append((i, i, [float(x) for x in v]))
+        points.append((i, [float(x) for x in v]))
     return points
 
 
@@ -128,7 +128,7 @@ def test_vectors_over_cells_and_blocks(spark, monkeypatch, cells, front, block):
     centres = rng.normal(0, 1, (9, 12))
     rows = unit_rows(rng, 160, 12, centres)
     monkeypatch.setattr(vs, "BLOCK_ROWS", block)
-    df = spark.createDataFrame(rows, "id long, arrival long, vec array<float>")
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
     units = cut(vs.unit_vectors(df), "units")
     pivots = vs.choose_pivots(units, cells=cells)
     members = cut(vs.cell_members(units, pivots, 0.85), "members")
@@ -149,13 +149,13 @@ def test_vectors_over_cells_and_blocks(spark, monkeypatch, cells, front, block):
 
 def test_zero_vectors_have_no_neighbours(spark):
     df = spark.createDataFrame(
-        [(0, 0, [0.0, 0.0]), (1, 1, [0.0, 0.0]), (2, 2, [1.0, 0.0]), (3, 3, [2.0, 0.0])],
-        "id long, arrival long, vec array<float>",
+        [(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0])],
+        "id long, vec array<float>",
     )
     units = cut(vs.unit_vectors(df), "units")
     members = cut(vs.cell_members(units, None, 0.85), "members")
     verdicts = duplicates.near_duplicates(
-        members, df.select("id", "arrival"), vs.vector_matcher(units, 0.85)
+        members, df.select("id"), vs.vector_matcher(units, 0.85)
     )
     got = {r.id: (r.kept, round(r.score, 9)) for r in verdicts.collect()}
     assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (True, 0.0), 3: (False, 1.0)}
@@ -172,7 +172,7 @@ def test_exact_duplicates_and_store(spark):
 
 def test_prefix_words_meet_for_every_similar_pair(spark):
     docs = corpus(random.Random(11), 80, hot=0.3)
-    df = spark.createDataFrame([(i, i, t) for i, _, t in docs], "id long, arrival long, text string")
+    df = spark.createDataFrame([(i, t) for i, _, t in docs], "id long, text string")
     features = cut(ts.word_features(df), "features")
     members = cut(ts.word_members(features, 0.85), "members")
     pairs = ts.word_matcher(features, 0.85)(members, members)
@@ -188,9 +188,7 @@ def test_prefix_words_meet_for_every_similar_pair(spark):
 
 def test_rare_words_lead(spark):
     texts = ["the cat", "the dog", "the emu"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn(
-        "arrival", F.col("id")
-    )
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     features = cut(ts.word_features(df), "features")
     members = ts.word_members(features, 0.85).where(F.col("place") == 0)
     assert members.select("bucket").distinct().count() == 3
