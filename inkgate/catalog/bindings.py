@@ -30,7 +30,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 # Every third length makes a PDF, so equal texts make equal files.
 IS_PDF = "(n_chars % 3 = 0)"
 DOC_JOB = "concat('doc-', cast(doc_id as string))"
-DOC_NAME = f"concat('doc_', cast(doc_id as string), case when {IS_PDF} then '.pdf' else '.txt' end)"
+# Every fifth length of those carries a wrong extension and asks a model.
+DOC_SUFFIX = f"case when {IS_PDF} and n_chars % 5 = 0 then '.doc' when {IS_PDF} then '.pdf' else '.txt' end"
+DOC_NAME = f"concat('doc_', cast(doc_id as string), {DOC_SUFFIX})"
 DOC_BODY = f"concat(case when {IS_PDF} then '%PDF-1.4 ' else '' end, text)"
 PAGE_JOB = "concat('page-', cast(page_id as string))"
 PAGE_NAME = "concat('page_', cast(page_id as string), '.html')"
@@ -114,6 +116,13 @@ RUN_RESPONSE = f"""case when n_chars % 11 = 0 then 'no answer'
    case when coalesce(quality, 1) = 1 and coalesce(toxic, 0) = 0 then 'true' else 'false' end,
    ', "confidence": ', {CONFIDENCE}, ', "reasoning": "label"}}') end"""
 
+# Answers to format questions, read or not by the kind of the length.
+FORMAT_RESPONSE = """case n_chars % 4
+ when 0 then '{"decision": "accept", "reasoning": "slip"}'
+ when 1 then 'I say {"decision": "reject", "confidence": 0.8, "reasoning": "disguise"}'
+ when 2 then '{"decision": "manual_review"}'
+ else 'cannot tell' end"""
+
 ENTITY_RESPONSE = f"""case (doc_id + attempt) % 8
  when 0 then concat('{{"doc_type_hint": "ordenanza", "number": "', cast(n_chars as string), '", "year": 1999, "issuing_body": "Concejo", "signatories": ["A. Uno", "B. Dos"], "article_count": ', cast(n_chars % 40 as string), '}}')
  when 1 then concat('Found: {{"docTypeHint": "decreto", "number": null, "year": "', cast(1950 + n_chars % 70 as string), '", "signatories": []}} end')
@@ -126,15 +135,21 @@ ENTITY_RESPONSE = f"""case (doc_id + attempt) % 8
 
 
 def run_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """(job_id, task, response): the content answer of every document."""
+    """(job_id, task, response): the content and format answers of every document."""
     labelled = table(spark, folder, "documents").select("doc_id", "n_chars").join(
         table(spark, folder, "labels"), "doc_id", "left"
     )
-    return labelled.select(
+    content = labelled.select(
         F.expr(DOC_JOB).alias("job_id"),
         F.lit("content").alias("task"),
         F.expr(RUN_RESPONSE).alias("response"),
     )
+    formats = table(spark, folder, "documents").select(
+        F.expr(DOC_JOB).alias("job_id"),
+        F.lit("format").alias("task"),
+        F.expr(FORMAT_RESPONSE).alias("response"),
+    )
+    return content.unionByName(formats)
 
 
 def entity_attempts(spark: SparkSession, folder: str) -> DataFrame:

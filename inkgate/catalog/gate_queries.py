@@ -81,7 +81,7 @@ SELECT doc_id,
                    WHEN starts_with(text, 'BZh') THEN 'application/x-bzip2'
                    WHEN starts_with(text, 'ID3') THEN 'audio/mpeg'
                    ELSE 'application/octet-stream' END END AS mime,
-       CASE WHEN {b.IS_PDF} THEN '.pdf' ELSE '.txt' END AS suffix
+       {b.DOC_SUFFIX} AS suffix
 FROM documents
 """
 

@@ -50,7 +50,17 @@ def ingest_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _EXTRACTED_LAYER = f"({b.TEXT_LAYER})"
-INGEST_CTES = f"""{gq.FORMAT_CTES},
+_ASKED = "decision = 'slm_escalate' AND n_chars % 4 <> 3"
+INGEST_CTES = f"""{gq.FORMAT_CTES.replace("formatted AS (", "rule_formatted AS (")},
+formatted AS (
+  SELECT * REPLACE (
+    CASE WHEN {_ASKED} THEN CASE n_chars % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject'
+         ELSE 'manual_review' END ELSE decision END AS decision,
+    CASE WHEN {_ASKED} THEN n_chars % 4 = 0 ELSE f_passed END AS f_passed,
+    {_ASKED} AS used_slm,
+    CASE WHEN {_ASKED} THEN CASE n_chars % 4 WHEN 0 THEN '' WHEN 1 THEN '{fv.MSG_MODEL}disguise'
+         ELSE '{fv.MSG_MODEL}' END ELSE f_reason END AS f_reason)
+  FROM rule_formatted),
 layered AS (SELECT *, CASE WHEN f_passed THEN {_EXTRACTED_LAYER} END AS layer FROM formatted),
 extracted AS (
   SELECT * EXCLUDE (text),

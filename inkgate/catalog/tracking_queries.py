@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkgate import fixed_values as fv
 from inkgate.catalog import bindings as b
+from inkgate.functions.naming import as_json_items
 from inkgate.operators import tracking
 
 _JOB = "concat('order-', cast({key} as string))"
@@ -19,6 +20,7 @@ _NODE = (
 )
 _DECISION = "case event_type when 'click' then 'accept' when 'view' then 'reject' else 'escalate' end"
 _DECIDED_JOB = "concat('order-', cast(cast(floor(value * 1000) as bigint) as string))"
+_INSTANT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _DATE = "date_format(created_at, 'yyyy-MM-dd')"
 
 
@@ -109,6 +111,30 @@ FROM jobs j LEFT JOIN nested n ON n.job_id = j.job_id WHERE j.status = 'review'
 """
 
 
+def review_queue_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue as JSON items with camelCase names."""
+    queue = tracking.review_queue(
+        _jobs(spark, folder).withColumn("created_at", F.expr(_DATE)),
+        _steps(spark, folder),
+        "node",
+        "status",
+    )
+    return as_json_items(queue)
+
+
+REVIEW_QUEUE_ITEMS = f"""
+WITH {CTES},
+nested AS (
+  SELECT job_id, string_agg('{{"stepOrder":' || step_order || ',"node":"' || node || '","status":"'
+    || status || '"}}', ',' ORDER BY step_order, node, status) AS listed FROM steps GROUP BY 1)
+SELECT '{{"jobId":"' || j.job_id || '","filename":"' || filename || '","status":"' || j.status
+  || '","rejectionReason":"' || rejection_reason || '","createdAt":"'
+  || strftime(created_at, '%Y-%m-%d') || '","documentSteps":[' || coalesce(listed, '') || ']}}'
+  AS item
+FROM jobs j LEFT JOIN nested n ON n.job_id = j.job_id WHERE j.status = 'review'
+"""
+
+
 def apply_decisions(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = tracking.decision_outcomes(_decisions(spark, folder), _jobs(spark, folder))
     return outcomes.select("decision_id", "job_id", "decision", "outcome", "new_status")
@@ -161,13 +187,13 @@ FROM jobs j LEFT JOIN firsts f ON f.job_id = j.job_id
 def decision_history(spark: SparkSession, folder: str) -> DataFrame:
     decisions = _decisions(spark, folder)
     return decisions.orderBy("job_id", "decided_at", "decision_id").select(
-        "job_id", "decided_by", "decision", F.unix_micros("decided_at").alias("decided_at_us")
+        "job_id", "decided_by", "decision", F.date_format("decided_at", _INSTANT).alias("decided")
     )
 
 
 DECISION_HISTORY = f"""
 WITH {CTES}
-SELECT job_id, decided_by, decision, epoch_us(decided_at) AS decided_at_us
+SELECT job_id, decided_by, decision, strftime(decided_at, '%Y-%m-%d %H:%M:%S.%f') AS decided
 FROM decisions ORDER BY job_id, decided_at, decision_id
 """
 
@@ -292,13 +318,13 @@ GROUP BY 1 HAVING count(*) > 1
 def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
     audit = b.node_events(spark, folder).withColumnRenamed("status", "event")
     return tracking.audit_trail(audit).select(
-        "job_id", "node", "event", "duration_ms", F.unix_micros("timestamp").alias("at_us")
+        "job_id", "node", "event", "duration_ms", F.date_format("timestamp", _INSTANT).alias("at")
     )
 
 
 AUDIT_TRAIL = f"""
 WITH {b.NODE_EVENTS_SQL}
-SELECT job_id, node, status AS event, duration_ms, epoch_us("timestamp") AS at_us
+SELECT job_id, node, status AS event, duration_ms, strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') AS at
 FROM node_events ORDER BY job_id, "timestamp", node, event
 """
 
@@ -322,6 +348,7 @@ FROM node_events GROUP BY 1, 2, 3
 QUERIES = {
     "register_jobs": register_jobs,
     "review_queue": review_queue,
+    "review_queue_items": review_queue_items,
     "apply_decisions": apply_decisions,
     "decided_jobs": decided_jobs,
     "decision_history": decision_history,
@@ -337,6 +364,7 @@ QUERIES = {
 ORACLES = {
     "register_jobs": REGISTER_JOBS,
     "review_queue": REVIEW_QUEUE,
+    "review_queue_items": REVIEW_QUEUE_ITEMS,
     "apply_decisions": APPLY_DECISIONS,
     "decided_jobs": DECIDED_JOBS,
     "decision_history": DECISION_HISTORY,

@@ -14,22 +14,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgate import fixed_values as fv
+from inkgate.functions.naming import camel
 
 _NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 _INTEGRAL_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*\z"
 
 
-def _camel(name: str) -> str:
-    head, *tail = name.split("_")
-    return head + "".join(part.capitalize() for part in tail)
-
-
 def field(obj: Column, name: str) -> Column:
     """The raw field under its camelCase or snake_case key; SQL NULL when absent."""
-    camel = F.variant_get(obj, f"$.{_camel(name)}", "variant")
-    if _camel(name) == name:
-        return camel
-    return F.coalesce(camel, F.variant_get(obj, f"$.{name}", "variant"))
+    first = F.variant_get(obj, f"$.{camel(name)}", "variant")
+    if camel(name) == name:
+        return first
+    return F.coalesce(first, F.variant_get(obj, f"$.{name}", "variant"))
 
 
 def _kind(value: Column) -> Column:

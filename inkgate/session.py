@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,18 +46,49 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/inkgate/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     Lineage ends here, later steps read only the columns they need, and a lost executor
-    costs a re-read rather than a re-run.
+    costs a re-read rather than a re-run. The files stay until ``scratch`` or
+    ``drop_written`` removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkgate/{label}-{uuid.uuid4().hex}"
+    folder = _scope.get() or _own_folder(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are removed at its end; write the results before."""
+    folder = f"{_own_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, folder)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove every table this application cut. Frames built on them can no longer be read."""
+    _delete(spark, _own_folder(spark))
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """Deal a freshly read table out to all cores when it comes in fewer splits than that.
 

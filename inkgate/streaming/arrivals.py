@@ -12,7 +12,7 @@ from inkgate.config import GateRules
 from inkgate.operators.duplicates import duplicate_control
 from inkgate.plans.ingest import ingest
 from inkgate.plans.persist import finalize_jobs, tracking_tables
-from inkgate.session import cut
+from inkgate.session import cut, scratch
 from inkgate.sources import tables
 
 STORE_SCHEMA = T.StructType(
@@ -51,7 +51,8 @@ def control_stream(
     rules = rules or GateRules()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        control_batch(batch, batch_id, root, rules)
+        with scratch(batch.sparkSession):
+            control_batch(batch, batch_id, root, rules)
 
     return (
         docs.writeStream.foreachBatch(write)
@@ -103,7 +104,8 @@ def ingest_stream(
     rules = rules or GateRules()
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, root, extractors, responses, rules)
+        with scratch(batch.sparkSession):
+            ingest_batch(batch, batch_id, root, extractors, responses, rules)
 
     return watch(uploads, judge, checkpoint)
 
