@@ -134,7 +134,7 @@ def test_vectors_over_cells_and_blocks(spark, monkeypatch, cells, front, block):
     members = cut(vs.cell_members(units, pivots, 0.85), "members")
     kept = keep_first(members, vs.vector_matcher(units, 0.85), front_size=front)
     matrix = np.array([r.vec for r in units.orderBy("id").collect()])
-    assert sorted(r.id for r in kept.collect()) == greedy(matrix, 0.85)
+    assert sorted(r.id for r in kept.kept.collect()) == greedy(matrix, 0.85)
 
     found = {
         r.id: (r.neighbour_id, r.cosine)
