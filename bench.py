@@ -51,9 +51,13 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # start the JVM's and the Python workers' first-use costs outside the clock
-    QUERIES["clean_text"](spark, folder).write.format("noop").mode("overwrite").save()
     names = sys.argv[1:] or HEADLINE
+    # One untimed pass over the smallest tables: class loading, code generation and Python
+    # worker start-up are paid once per session, not once per query.
+    warm = Path(folder).parent / "sf0.001"
+    warmed = warm.exists()
+    for name in names if warmed else ():
+        QUERIES[name](spark, str(warm)).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
@@ -67,6 +71,7 @@ def main() -> None:
         "queries": seconds,
         "sf": Path(folder).name.removeprefix("sf"),
         "documents": docs,
+        "warmed_up": warmed,
     }
     if "ingest_cascade" in seconds:
         report["ingest_docs_per_sec"] = round(docs / seconds["ingest_cascade"], 1)

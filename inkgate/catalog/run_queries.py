@@ -19,6 +19,7 @@ from inkgate.plans.enrich import EnrichRun, accepted_documents, enrich
 from inkgate.plans.ingest import ingest
 from inkgate.session import shared_folder
 from inkgate.sources import tables
+from inkgate.streaming import events
 from inkgate.streaming.arrivals import ingest_stream
 
 
@@ -156,6 +157,19 @@ def _step_rows_sql() -> str:
 STEPS_LONG = f"WITH RECURSIVE {INGEST_CTES}\n{_step_rows_sql()}"
 
 
+def run_events(spark: SparkSession, folder: str) -> DataFrame:
+    return events.run_events(_run(spark, folder)).drop("timestamp")
+
+
+RUN_EVENTS = f"""
+WITH RECURSIVE {INGEST_CTES},
+steps AS ({_step_rows_sql()})
+SELECT job_id, CAST(2 * step_order - 1 AS BIGINT) AS seq, node, 'started' AS status FROM steps
+UNION ALL SELECT job_id, CAST(2 * step_order AS BIGINT), node, status FROM steps
+UNION ALL SELECT job_id, CAST(11 AS BIGINT), '{fv.NODE_WHOLE_RUN}', 'done' FROM ingested
+"""
+
+
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = tracking.gate_audit(_run(spark, folder))
     detail = F.col("detail")
@@ -308,6 +322,7 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "ingest_cascade": ingest_cascade,
     "steps_long": steps_long,
+    "run_events": run_events,
     "audit_rows": audit_rows,
     "finalize_jobs": finalize_jobs,
     "enrich": enriched,
@@ -317,6 +332,7 @@ ORACLES = {
     "stream_ingest": STREAM_INGEST,
     "ingest_cascade": INGEST_CASCADE,
     "steps_long": STEPS_LONG,
+    "run_events": RUN_EVENTS,
     "audit_rows": AUDIT_ROWS,
     "finalize_jobs": FINALIZE_JOBS,
     "enrich": ENRICHED,

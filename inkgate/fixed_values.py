@@ -108,7 +108,6 @@ TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
 FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
 FORMAT_DECISIONS = ("accept", "reject", "manual_review", "slm_escalate")
 ACT_MARKERS = ("VISTO", "CONSIDERANDO", "ARTÍCULO", "DECRETA", "RESUELVE", "ORDENANZA")
-DOC_TYPE_HINTS = ("ordenanza", "decreto", "resolucion")
 
 # --- tracking -----------------------------------------------------------------------------
 METADATA_SOURCE = "manual_upload"

@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_doubles(vector: Column) -> Column:
-    return F.transform(vector, lambda x: x.cast("double"))
-
-
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

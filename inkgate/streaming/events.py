@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkgate import fixed_values as fv
+from inkgate.operators.tracking import STEPS, outcome
 from inkgate.sources import tables
 
 FINISHED = ("passed", "failed")
@@ -23,6 +24,36 @@ def iso_utc(timestamp: Column) -> Column:
     return F.when(F.unix_micros(timestamp) % 1_000_000 == 0, whole).otherwise(exact)
 
 
+def run_events(results: DataFrame, *, timestamp: Column | None = None) -> DataFrame:
+    """(job_id, seq, node, status, timestamp): what each gate of a run announced, then done."""
+    announced = []
+    for order, (step, node) in enumerate(STEPS, start=1):
+        reached = F.col(step).isNotNull()
+        for seq, status in (
+            (2 * order - 1, F.lit("started")),
+            (2 * order, outcome(F.col(f"{step}.passed"))),
+        ):
+            event = F.struct(
+                F.lit(seq).cast("bigint").alias("seq"),
+                F.lit(node).alias("node"),
+                status.alias("status"),
+            )
+            announced.append(F.when(reached, event))
+    announced.append(
+        F.struct(
+            F.lit(2 * len(STEPS) + 1).cast("bigint").alias("seq"),
+            F.lit(fv.NODE_WHOLE_RUN).alias("node"),
+            F.lit("done").alias("status"),
+        )
+    )
+    stamp = F.current_timestamp() if timestamp is None else timestamp
+    return results.select(
+        "job_id",
+        F.explode(F.array_compact(F.array(*announced))).alias("e"),
+        stamp.alias("timestamp"),
+    ).select("job_id", "e.seq", "e.node", "e.status", "timestamp")
+
+
 def event_frames(events: DataFrame) -> DataFrame:
     """Events as server-sent-event text frames, batch or stream."""
     payload = F.to_json(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgate.functions.naming import as_json_items, camel_case
+from inkgate.functions.vectors import cosine, unit
 from inkgate.operators import hooks
 from inkgate.operators.extraction import from_attempts
 from inkgate.session import cut, drop_written, scratch
@@ -63,6 +64,16 @@ def test_embedding_column(spark):
     assert sorted(r.v for r in vectors.collect()) == [[2.0, 1.0], [3.0, 1.0]]
 
 
+def test_cosine_columns(spark):
+    df = spark.createDataFrame(
+        [([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])],
+        "a array<float>, b array<float>",
+    )
+    got = df.select(cosine(F.col("a"), F.col("b")).alias("c"), unit(F.col("b")).alias("u")).collect()
+    assert [r.c for r in got] == [1.0, 0.0, 0.0]
+    assert got[0].u == [1.0, 0.0] and got[2].u == pytest.approx([2**-0.5] * 2)
+
+
 def test_camel_case_names(spark):
     df = spark.createDataFrame(
         [("j", [(1, "n")], None)],

@@ -3,11 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkgate.sources import files as file_source
-from inkgate.sources import tables
 from inkgate.streaming import arrivals
 from inkgate.streaming import events as ev
 from test_duplicates import corpus, one_by_one
