@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkgate.config import GateRules
 from inkgate.operators import answers, gates
-from inkgate.operators.duplicates import duplicate_control
+from inkgate.operators.duplicates import Control, Store, duplicate_control
 from inkgate.operators.extraction import extract_in_row
 from inkgate.session import cut
 
@@ -23,11 +23,11 @@ from inkgate.session import cut
 @dataclass(frozen=True)
 class IngestRun:
     """``results``: one row per file with its step structs, status and reason.
-    ``to_store``: id, hash and word set of the accepted, the ``stored`` of later runs.
+    ``control``: verdicts of the last check and what it adds to the store of later runs.
     """
 
     results: DataFrame
-    to_store: DataFrame
+    control: Control
 
 
 def ingest(
@@ -36,13 +36,13 @@ def ingest(
     responses: DataFrame,
     rules: GateRules | None = None,
     *,
-    stored: DataFrame | None = None,
+    store: Store | None = None,
 ) -> IngestRun:
     """Judge files(job_id, arrival, filename, content, language, ...).
 
     ``extractors`` are (name, text expression) pairs over the file columns; ``responses``
     holds (job_id, task, response) answers of the models. Order of arrival decides between
-    duplicates; ``stored`` are the documents earlier runs accepted.
+    duplicates; ``store`` holds what earlier runs accepted.
     """
     rules = rules or GateRules()
     df = gates.receive(files, rules.formats)
@@ -91,20 +91,20 @@ def ingest(
         F.col("job_id").alias("id"), "arrival", F.col("reception.sha256").alias("sha256")
     )
     texts = staged.select(F.col("job_id").alias("id"), F.col("extraction.text").alias("text"))
-    verdicts, to_store = duplicate_control(
+    control = duplicate_control(
         admitted,
         texts,
         threshold=rules.duplicates.cosine_similarity_threshold,
-        stored=stored,
+        store=store,
     )
 
     results = (
         staged.select("job_id", "arrival", "filename", "reception", "extraction")
         .join(lean.select("job_id", "format_validation", "content_validation"), "job_id")
-        .join(verdicts.withColumnRenamed("id", "job_id"), "job_id", "left")
+        .join(control.verdicts.withColumnRenamed("id", "job_id"), "job_id", "left")
         .withColumn(
             "extraction",
             F.when(F.col("format_validation.passed"), F.col("extraction")),
         )
     )
-    return IngestRun(gates.route(results), to_store)
+    return IngestRun(gates.route(results), control)

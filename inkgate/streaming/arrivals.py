@@ -4,24 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkgate.config import GateRules
-from inkgate.operators.duplicates import duplicate_control
+from inkgate.operators import token_similarity as ts
+from inkgate.operators.duplicates import Control, Store, duplicate_control
 from inkgate.plans.ingest import ingest
 from inkgate.plans.persist import finalize_jobs, tracking_tables
 from inkgate.session import cut, scratch
 from inkgate.sources import tables
 
-STORE_SCHEMA = T.StructType(
+DOCUMENT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("sha256", T.StringType()),
         T.StructField("words", T.ArrayType(T.LongType())),
     ]
 )
+MEMBER_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("n_members", T.IntegerType()),
+        T.StructField("n_words", T.IntegerType()),
+        T.StructField("place", T.IntegerType()),
+        T.StructField("bucket", T.LongType()),
+    ]
+)
+SLOT_SCHEMA = T.StructType(
+    [T.StructField("slot", T.IntegerType()), T.StructField("count", T.LongType())]
+)
+
+
+def open_store(spark: SparkSession, root: str, batch_id: int, texts: DataFrame) -> Store:
+    """The store as earlier batches left it.
+
+    The word order is fixed by the first batch's ``texts`` and kept, so that members written
+    by any batch can be compared with those of every other.
+    """
+    slots = tables.read_table(spark, root, "word_order", SLOT_SCHEMA)
+    if slots.isEmpty():
+        counted = ts.slot_counts(texts.select(ts.distinct_words(F.col("text")).alias("words")))
+        # the extra row marks an order as fixed even where the first batch has no words
+        mark = spark.createDataFrame([(0, 0)], SLOT_SCHEMA)
+        counted = counted.unionByName(mark)
+        counted.write.mode("overwrite").parquet(tables.table_path(root, "word_order"))
+        slots = tables.read_table(spark, root, "word_order", SLOT_SCHEMA)
+    return Store(
+        tables.read_before(spark, root, "accepted", DOCUMENT_SCHEMA, batch_id),
+        tables.read_before(spark, root, "accepted_members", MEMBER_SCHEMA, batch_id),
+        ts.slot_frequencies(slots),
+    )
+
+
+def extend_store(control: Control, root: str, batch_id: int) -> None:
+    tables.append_batch(control.documents, root, "accepted", batch_id)
+    tables.append_batch(control.members, root, "accepted_members", batch_id)
 
 
 def control_batch(docs: DataFrame, batch_id: int, root: str, rules: GateRules) -> None:
@@ -30,17 +70,16 @@ def control_batch(docs: DataFrame, batch_id: int, root: str, rules: GateRules) -
     The batch sees what earlier batches accepted and overwrites its own partitions, so a
     replayed batch leaves the same tables behind.
     """
-    spark = docs.sparkSession
-    store = tables.read_before(spark, root, "accepted", STORE_SCHEMA, batch_id)
-    verdicts, to_store = duplicate_control(
+    texts = docs.select("id", "text")
+    control = duplicate_control(
         docs.select("id", "arrival", "sha256"),
-        docs.select("id", "text"),
+        texts,
         threshold=rules.duplicates.cosine_similarity_threshold,
-        stored=store,
+        store=open_store(docs.sparkSession, root, batch_id, texts),
     )
-    tables.append_batch(to_store, root, "accepted", batch_id)
+    extend_store(control, root, batch_id)
     tables.append_batch(
-        verdicts.select("id", "duplicate_control.*"), root, "verdicts", batch_id
+        control.verdicts.select("id", "duplicate_control.*"), root, "verdicts", batch_id
     )
 
 
@@ -76,17 +115,12 @@ def ingest_batch(
     and with everything earlier batches accepted. Every table keeps the batch as a partition
     that a replay overwrites.
     """
-    spark = uploads.sparkSession
-    store = tables.read_before(spark, root, "accepted", STORE_SCHEMA, batch_id)
-    run = ingest(
-        uploads,
-        extractors,
-        responses,
-        rules,
-        stored=store,
-    )
+    # any text will do to fix the word order: the cheapest extractor's
+    texts = uploads.select(extractors[0][1].alias("text"))
+    store = open_store(uploads.sparkSession, root, batch_id, texts)
+    run = ingest(uploads, extractors, responses, rules, store=store)
     results = cut(run.results, "results")
-    tables.append_batch(run.to_store, root, "accepted", batch_id)
+    extend_store(run.control, root, batch_id)
     tables.append_batch(finalize_jobs(results), root, "jobs", batch_id)
     for name, table in tracking_tables(results).items():
         tables.append_batch(table, root, name, batch_id)

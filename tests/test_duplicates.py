@@ -62,7 +62,7 @@ def run(spark, docs, **options):
     df = spark.createDataFrame(
         [(i, i, s, t) for i, s, t in docs], "id long, arrival long, sha256 string, text string"
     )
-    verdicts, _ = duplicates.duplicate_control(df, df, **options)
+    verdicts = duplicates.duplicate_control(df, df, **options).verdicts
     return {
         r.id: (r.duplicate_control.duplicate_type, r.duplicate_control.similarity_score)
         for r in verdicts.collect()
@@ -97,9 +97,16 @@ def test_store_of_earlier_runs(spark):
     schema = "id long, arrival long, sha256 string, text string"
     df1 = spark.createDataFrame([(i, i, s, t) for i, s, t in first], schema)
     df2 = spark.createDataFrame([(i, i, s, t) for i, s, t in second], schema)
-    v1, kept = duplicates.duplicate_control(df1, df1)
-    kept = cut(kept, "store")
-    v2, _ = duplicates.duplicate_control(df2, df2, stored=kept)
+    first_run = duplicates.duplicate_control(df1, df1)
+    # a later run uses the word order its store was written with
+    words = df1.select(ts.distinct_words(F.col("text")).alias("words"))
+    order = ts.slot_frequencies(ts.slot_counts(words))
+    stored = cut(first_run.documents, "store")
+    members = cut(ts.word_members(stored, 0.85, order), "members")
+    second_run = duplicates.duplicate_control(
+        df2, df2, store=duplicates.Store(stored, members, order)
+    )
+    v1, v2 = first_run.verdicts, second_run.verdicts
     got = {r.id: r.duplicate_control for r in v1.unionByName(v2).collect()}
     assert {k: v.duplicate_type for k, v in got.items()} == {k: v[0] for k, v in whole.items()}
     for key, (_, score) in whole.items():

@@ -162,7 +162,7 @@ def test_whole_run(spark):
     assert rows["good"].rejection_reason == "" and rows["page"].extraction is None
     assert rows["slip"].format_validation.used_slm
     assert rows["slip2"].extraction is None and rows["slip2"].content_validation is None
-    assert {r.id for r in run.to_store.collect()} == {"good", "near", "slip"}
+    assert {r.id for r in run.control.documents.collect()} == {"good", "near", "slip"}
 
     steps = tracking.steps_long(run.results)
     per_job = {r.job_id: r.n for r in steps.groupBy("job_id").agg(F.count("*").alias("n")).collect()}
