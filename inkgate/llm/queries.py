@@ -6,11 +6,18 @@ operator to the whole table and maps its result to the columns asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgate.llm import exact_copies as ec
+from inkgate.llm import packing
+from inkgate.llm import phrase_index as pi
+from inkgate.llm import quality
 from inkgate.llm import shingle_join as sj
+from inkgate.llm.tokens import tokenizer_path
+
+# Documents with this quality score or more are accepted.
+ACCEPTED_FROM = 0.3
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +30,68 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def packed(records: DataFrame) -> DataFrame:
+    pieces = packing.pack(records, tokenizer_path("byte_bpe_50k.json"), end_id=1, max_length=2048)
+    return pieces.select(
+        F.col("job_id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(document_records(spark, folder))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = pi.contamination(document_records(spark, folder), _table(spark, folder, "benchmark"))
+    ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select(
+        F.col("job_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, len(x) AS width, array_to_string(x, ' ') AS phrase
+  FROM (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: w[i:i + 9])) AS x
+        FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM windows),
+starts AS MATERIALIZED (
+  SELECT doc_id, width, s, array_to_string(w[s:s + width - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS s FROM d CROSS JOIN widths WHERE len(w) >= width)),
+hits AS MATERIALIZED (SELECT doc_id, item_id, s, width FROM starts JOIN windows USING (width, phrase)),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM (SELECT DISTINCT doc_id, s, width FROM hits)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return sj.jaccard_components(document_records(spark, folder)).withColumnRenamed("job_id", "doc_id")
 
@@ -51,6 +120,28 @@ SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS c
 """
 
 
+def _held_out(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the labels that are not held out."""
+    decisions = labels.where(~_held_out("doc_id")).select(
+        F.col("doc_id").alias("job_id"), F.when(F.col("quality") == 1, "accept").otherwise("reject").alias("decision")
+    )
+    return quality.fit(docs, decisions, job_id="doc_id", cleaned_text="text")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    model = quality_model(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return quality.quality_scores(document_records(spark, folder), model).select(
+        F.col("job_id").alias("doc_id"),
+        _held_out("job_id").alias("held_out"),
+        "score",
+        (F.col("score") >= ACCEPTED_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return ec.exact_copies(document_records(spark, folder)).select(
         F.col("job_id").alias("doc_id"),
@@ -73,10 +164,14 @@ FROM d
 """
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality": op7_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op5_decontamination": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

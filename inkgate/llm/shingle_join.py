@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from inkgate.llm.common import components, filter_bits, member_filter, records,
 from inkgate.session import cut
 
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+# Buckets of at most SMALL members make pairs of rows, larger ones meet in blocks of BLOCK.
+SMALL, BLOCK = 24, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -147,13 +150,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+def _pairs(rows: DataFrame, others: DataFrame, percent: int, once: bool = False) -> DataFrame:
     """Distinct pairs of one bucket whose components differ and whose sizes allow a link."""
     o = others.select("token", *(F.col(c).alias(f"{c}_o") for c in ("job_id", "n_shingles", "label")))
     low, high = F.least("n_shingles", "n_shingles_o"), F.greatest("n_shingles", "n_shingles_o")
     return (
         rows.join(o, "token")
         .where((F.col("label") != F.col("label_o")) & (100 * low >= percent * high))
+        .where(F.col("job_id") < F.col("job_id_o") if once else F.lit(True))
         .select(F.least("job_id", "job_id_o").alias("a"), F.greatest("job_id", "job_id_o").alias("b"))
         .distinct()
     )
@@ -173,34 +177,84 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of large buckets, compared block by block inside tasks.
+
+    A bucket is dealt into blocks of about ``BLOCK`` members; every two blocks meet in a task
+    of their own. A task returns at most one link per member: enough to join components.
+    """
+    kind = large.schema["job_id"].dataType.simpleString()
+
+    def links(keys, part):
+        label = part["label"].to_numpy()
+        size = part["n_shingles"].to_numpy()
+        parent = {x: x for x in label}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        ends = np.cumsum([len(t) for t in part["tokens"]])
+        flat, column = np.unique(np.concatenate(list(part["tokens"])), return_inverse=True)
+        row = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(part), len(part)), np.float32)
+        for at in range(0, len(flat), 4096):
+            lo, hi = np.searchsorted(column, (at, at + 4096))
+            grid = np.zeros((len(part), 4096), np.float32)
+            grid[row[lo:hi], column[lo:hi] - at] = 1
+            both += grid @ grid.T
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            x, y = root(label[i]), root(label[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((part["job_id"].iat[i], part["job_id"].iat[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    count = large.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = (
+        large.join(count, "token")
+        .withColumn("mine", F.pmod(F.xxhash64("job_id"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("token", "job_id", "label", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    )
+    return (
+        dealt.join(sets.select("job_id", "n_shingles", "tokens"), "job_id")
+        .groupBy("token", "lo", "hi")
+        .applyInPandas(links, f"a {kind}, b {kind}")
+    )
+
+
 def _linked(sets: DataFrame, percent: int, leader_rounds: int) -> DataFrame:
     """(job_id, label): components of the sets, without all pairs of a bucket of copies.
 
-    In each round every bucket compares its members with one leader only; what links becomes
-    one component and needs no comparison inside. Once few pairs between components are left
-    (or after ``leader_rounds``), all of them are compared: nothing is left out.
+    First every bucket compares its members with one leader at a time; what links becomes one
+    component and needs no comparison inside. Then all members of different components are
+    compared: pair by pair in buckets of at most ``SMALL`` members, in blocks inside tasks in
+    larger ones. Nothing is left out.
     """
     buckets = cut(sets.select("job_id", "n_shingles", F.explode("prefix").alias("token")), "buckets")
     labels = sets.select("job_id", F.col("job_id").alias("label"))
     for turn in range(leader_rounds + 1):
         rows = buckets.join(labels, "job_id")
-        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        rows = cut(rows.join(mixed.where("lo <> hi").select("token"), "token"), "mixed")
-        parts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        sums = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        size, crossing = sums.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not size:
-            break
-        last = crossing <= 2 * size or turn == leader_rounds
-        if last:
-            pairs = _pairs(rows, rows, percent)
-        else:
+        mixed = rows.groupBy("token").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")
+        )
+        mixed = cut(mixed.where("lo <> hi").select("token", "members"), "mixed")
+        rows = cut(rows.join(mixed, "token"), "rows")
+        if turn < leader_rounds:
             order = F.struct(F.xxhash64("job_id", F.lit(turn)).alias("o"), "job_id", "n_shingles", "label")
-            leaders = rows.groupBy("token").agg(F.min(order).alias("x"))
-            pairs = _pairs(rows, cut(leaders.select("token", "x.*"), "leaders"), percent)
-        labels = _relabel(labels, cut(_verified(pairs, sets, percent), "verified"))
-        if last:
-            break
+            leaders = rows.groupBy("token").agg(F.min(order).alias("x")).select("token", "x.*")
+            links = _verified(_pairs(rows, cut(leaders, "leaders"), percent), sets, percent)
+        else:
+            small, large = rows.where(F.col("members") <= SMALL), rows.where(F.col("members") > SMALL)
+            links = _verified(_pairs(small, small, percent, once=True), sets, percent)
+            links = links.unionByName(_blocks(large.drop("n_shingles", "members"), sets, percent))
+        labels = _relabel(labels, cut(links, "verified"))
     return labels
 
 
@@ -211,7 +265,7 @@ def jaccard_components(
     cleaned_text: str = "cleaned_text",
     percent: int = 90,
     shingle_words: int = 3,
-    leader_rounds: int = 6,
+    leader_rounds: int = 2,
 ) -> DataFrame:
     """One row per record: job_id, n_shingles, component_id.
 
