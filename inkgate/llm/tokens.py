@@ -12,8 +12,12 @@ import numpy as np
 KNOWN_PIECES = 400_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-# A word with the blank before it, or a run of white space up to there.
-_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Letters up to another ASCII character, the rest of a word, or a run of white space; the blank
+# before a word belongs to it. Words then repeat whatever mark follows them.
+_PIECE = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\t-\r -@\[-`{-~]|\Z)"
+    f"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 
 
 def tokenizer_path(name: str) -> str:
