@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgate.llm import exact_copies as ec
-from inkgate.llm import packing
+from inkgate.llm import id_files, packing
 from inkgate.llm import phrase_index as pi
 from inkgate.llm import quality
 from inkgate.llm import shingle_join as sj
+from inkgate.llm.common import scratch_path
 from inkgate.llm.tokens import tokenizer_path
 
 # Documents with this quality score or more are accepted.
@@ -47,6 +48,17 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(document_records(spark, folder))
 
 
+def op4_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "id-files")
+    id_files.write_id_files(document_records(spark, folder), tokenizer_path("word_bpe_49k.json"), path, end_id=2)
+    return id_files.read_id_files(spark, path).select(
+        F.col("job_id").alias("doc_id"),
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = pi.contamination(document_records(spark, folder), _table(spark, folder, "benchmark"))
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -165,6 +177,7 @@ FROM d
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_id_files": op4_id_files,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
