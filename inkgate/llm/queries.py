@@ -14,6 +14,7 @@ from inkgate.llm import id_files, packing
 from inkgate.llm import phrase_index as pi
 from inkgate.llm import quality
 from inkgate.llm import shingle_join as sj
+from inkgate.llm import web_archive
 from inkgate.llm.common import scratch_path
 from inkgate.llm.tokens import tokenizer_path
 
@@ -48,6 +49,33 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(document_records(spark, folder))
 
 
+def op3_web_archive(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select(
+        F.col("page_id").alias("job_id"), F.col("url").alias("filename"), F.col("html").cast("binary").alias("content")
+    )
+    path = scratch_path(spark, "archives")
+    web_archive.write_archives(pages, path)
+    return web_archive.read_archives(spark, path).select(
+        F.col("job_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS origin FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN origin END AS refers_to
+FROM f
+"""
+
+
 def op4_id_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "id-files")
     id_files.write_id_files(document_records(spark, folder), tokenizer_path("word_bpe_49k.json"), path, end_id=2)
@@ -177,6 +205,7 @@ FROM d
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_web_archive": op3_web_archive,
     "op4_id_files": op4_id_files,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
@@ -184,6 +213,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op3_web_archive": OP3_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
