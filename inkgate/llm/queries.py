@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgate.llm import dialogue
 from inkgate.llm import exact_copies as ec
-from inkgate.llm import id_files, packing
+from inkgate.llm import id_files, packing, page_text, separators
 from inkgate.llm import phrase_index as pi
 from inkgate.llm import quality
 from inkgate.llm import shingle_join as sj
@@ -49,6 +50,21 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(document_records(spark, folder))
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = document_records(spark, folder)
+    path = scratch_path(spark, "token-files")
+    separators.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), path)
+    counts = separators.token_counts(spark, path)
+    # The files know no ids: record i of file p is row i of the table's partition p.
+    rows = docs.select(
+        F.col("job_id").alias("doc_id"),
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("turn"),
+    )
+    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
+    return counts.withColumn("part", part).join(rows, ["part", "turn"], "full").select("doc_id", "start", "n_tokens")
+
+
 def op3_web_archive(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select(
         F.col("page_id").alias("job_id"), F.col("url").alias("filename"), F.col("html").cast("binary").alias("content")
@@ -182,6 +198,37 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.perspectives(_table(spark, folder, "conversations"))
+
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, name AS perspective FROM t),
+p AS (
+  SELECT t.conv_id, perspective, turn, name, CASE WHEN name = perspective THEN 'assistant' ELSE 'user' END AS role,
+    CASE WHEN name = perspective THEN '<|assistant|>' ELSE '<|user:' || name || '|>' END || chr(10) AS head, text
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS piece, length(head) + length(text) + 8 AS n_chars FROM p),
+r AS (
+  SELECT *, CAST(coalesce(sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, name, piece
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM q)
+SELECT conv_id, perspective, turn, role, name, piece, start, n_chars,
+  CASE WHEN role = 'assistant' THEN start + length(head) END AS loss_start,
+  CASE WHEN role = 'assistant' THEN start + n_chars END AS loss_end
+FROM r
+"""
+
+
+def op9_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return page_text.main_text(pages, job_id="page_id", filename="url", content="html").select(
+        F.col("job_id").alias("page_id"), F.col("filename").alias("url"), "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return ec.exact_copies(document_records(spark, folder)).select(
         F.col("job_id").alias("doc_id"),
@@ -205,16 +252,20 @@ FROM d
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_web_archive": op3_web_archive,
     "op4_id_files": op4_id_files,
     "op5_decontamination": op5_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
+    "op8_perspectives": op8_perspectives,
+    "op9_page_text": op9_page_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
     "op3_web_archive": OP3_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
+    "op8_perspectives": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
