@@ -69,8 +69,8 @@ def build_index(enriched_records: DataFrame, *, job_id: str = "job_id", cleaned_
                     "segment": segment,
                     "term": [None, *(t.decode("utf-8", "surrogatepass") for t in terms)],
                     "positions": [None, *lists],
-                    "job_ids": [[key for key, _ in part], *[None] * len(terms)],
-                    "n_words": [[len(words) for _, words in part], *[None] * len(terms)],
+                    "job_ids": pd.Series([[key for key, _ in part], *[None] * len(terms)], dtype=object),
+                    "n_words": pd.Series([[len(words) for _, words in part], *[None] * len(terms)], dtype=object),
                 }
             )
 
@@ -186,7 +186,7 @@ def _one_pass(index: DataFrame, tests: dict, item_kind: str, slop: int) -> DataF
             out["place"].append(p)
             out["words"].append(np.flatnonzero(np.cumsum(mark[:-1]) > 0))
             out["items"].append(list(found))
-        return pd.DataFrame(out)
+        return pd.DataFrame({k: pd.Series(v, dtype=object if k in ("words", "items") else "int64") for k, v in out.items()})
 
     asked = index.where("term IS NOT NULL").join(terms, "term").select("segment", "number", "positions", F.lit(None).cast("array<long>").alias("n_words"))
     directory = index.where("term IS NULL").select("segment", F.lit(-1).alias("number"), F.lit(None).cast("binary").alias("positions"), "n_words")

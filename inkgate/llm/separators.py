@@ -71,7 +71,7 @@ def token_counts(spark: SparkSession, path: str, *, separator: int = 50256, widt
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 ids = np.frombuffer(content, width)
-                yield pd.DataFrame({"file": [file], "n_ids": [len(ids)], "ends": [block_ends(ids, separator)]})
+                yield pd.DataFrame({"file": [file], "n_ids": [len(ids)], "ends": pd.Series([block_ends(ids, separator)], dtype=object)})
 
     found = cut(read_bytes(spark, path).mapInPandas(scan, "file string, n_ids long, ends array<long>"), "ends")
     # one narrow row per file; the last separator of each file, in places of the corpus

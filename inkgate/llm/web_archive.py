@@ -236,7 +236,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     sound = (
         (F.transform("parts", lambda x: x["number"]) == F.sequence(F.lit(1), F.size("parts")))
         & F.col("job_id").isNotNull()
-        & (F.length("block") == F.coalesce("total", F.length("block").cast("long")))
+        & (F.length("block") == F.col("total"))  # stated by the last segment
     )
     message = F.concat(F.lit("segments are missing or of another length: "), F.col("record_id"))
     joined = groups.withColumn("block", block).select(
