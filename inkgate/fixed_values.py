@@ -149,7 +149,27 @@ SIGNATURES = (
     ("application/font-woff", 0, "774F4646"),
     ("application/font-woff", 0, "774F4632"),
     ("application/x-tar", 257, "7573746172"),
+    ("application/msword", 0, "D0CF11E0A1B11AE1"),
+    ("application/wasm", 0, "0061736D"),
 )
+# Containers name their kind behind a size field: RIFF at byte 8, ISO media after "ftyp" at 4.
+RIFF_KINDS = (
+    ("image/webp", "57454250"),
+    ("audio/x-wav", "57415645"),
+    ("video/x-msvideo", "41564920"),
+)
+FTYP_KINDS = (
+    ("image/heic", "68656963"),
+    ("image/heic", "68656978"),
+    ("image/heic", "6D696631"),
+    ("image/heic", "6D736631"),
+    ("image/avif", "61766966"),
+    ("video/quicktime", "71742020"),
+    ("video/x-m4v", "4D345620"),
+    ("audio/mp4", "4D344120"),
+)
+FTYP_MIME = "video/mp4"
+EPUB_MIME = "application/epub+zip"
 ZIP_MIME = "application/zip"
 ZIP_SIGNATURES = ("504B0304", "504B0506", "504B0708")
 # ZIP containers are told apart by the folder their members lie in.

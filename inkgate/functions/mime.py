@@ -44,8 +44,23 @@ def detect_mime(content: Column) -> Column:
         for mime, offset, magic in fv.SIGNATURES
         if offset > 0
     ]
-    mime = F.coalesce(*lookups, *elsewhere, F.lit(fv.UNKNOWN_MIME))
-    members = F.when(mime != fv.ZIP_MIME, mime)
+    kind = F.hex(F.substring(content, 9, 4))
+    riff = F.when(
+        F.startswith(head, F.lit("52494646")),
+        F.try_element_at(_constant_map({magic: mime for mime, magic in fv.RIFF_KINDS}), kind),
+    )
+    ftyp = F.when(
+        F.hex(F.substring(content, 5, 4)) == "66747970",
+        F.coalesce(
+            F.try_element_at(_constant_map({magic: mime for mime, magic in fv.FTYP_KINDS}), kind),
+            F.lit(fv.FTYP_MIME),
+        ),
+    )
+    mime = F.coalesce(*lookups, riff, ftyp, *elsewhere, F.lit(fv.UNKNOWN_MIME))
+    # an EPUB's first member, stored as it is, says so
+    first = F.substring(content, 31, 8 + len(fv.EPUB_MIME))
+    epub = first == F.encode(F.lit(f"mimetype{fv.EPUB_MIME}"), "UTF-8")
+    members = F.when(mime != fv.ZIP_MIME, mime).when(epub, fv.EPUB_MIME)
     for kind, folder in fv.ZIP_MEMBER_FOLDERS:
         members = members.when(F.contains(content, F.encode(F.lit(folder), "UTF-8")), kind)
     return members.otherwise(fv.ZIP_MIME)

@@ -96,9 +96,15 @@ def entity_requests(
 
 
 def with_response(df: DataFrame, responses: DataFrame, task: str, output: str) -> DataFrame:
-    """Left-join the response of one task; one response per job and task is expected."""
-    wanted = responses.where(F.col("task") == task).select(
-        "job_id", F.col("response").alias(output)
+    """Left-join the response of one task: of several for a job, that of the last attempt.
+
+    Without attempts, or among equal ones, the greatest text counts: a job never multiplies.
+    """
+    order = ["attempt", "response"] if "attempt" in responses.columns else ["response"]
+    wanted = (
+        responses.where(F.col("task") == task)
+        .groupBy("job_id")
+        .agg(F.max(F.struct(*order))["response"].alias(output))
     )
     return df.join(wanted, "job_id", "left")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,18 +31,17 @@ def build_session(app_name: str = "inkgate", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; local runs may fall back to a temp folder."""
+    """The folder named by ``spark.checkpoint.dir``; else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="inkgate-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return shared_folder(spark)
+    # The warehouse is shared too; a machine's own temp folder would not be.
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)

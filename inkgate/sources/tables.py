@@ -17,7 +17,13 @@ def append(df: DataFrame, root: str, name: str) -> None:
 
 
 def append_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """Write a micro-batch as its own partition; replaying the batch replaces it."""
+    """Write a micro-batch as its own partition; replaying the batch replaces it.
+
+    The old partition goes first: a replay without rows must leave none behind.
+    """
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path(root, name)}/batch_id={batch_id}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     (
         df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")

@@ -129,3 +129,10 @@ def test_rule_entities_and_signals(spark):
     assert found.issuing_body is None and found.signatories == []
     row = entities.signal_counts(df).first()
     assert row.signals == [1, 1, 1, 0, 1, 1] and row.n_signals == 5
+
+
+def test_repeated_responses_do_not_multiply_jobs(spark):
+    jobs = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    told = [("a", "t", 1, "old"), ("a", "t", 2, "new"), ("a", "u", 3, "other"), ("b", "t", 1, None)]
+    rows = answers.with_response(jobs, spark.createDataFrame(told, "job_id string, task string, attempt int, response string"), "t", "out")
+    assert sorted((r.job_id, r.out) for r in rows.collect()) == [("a", "new"), ("b", None)]

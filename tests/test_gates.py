@@ -187,3 +187,21 @@ def test_content_branches(spark):
     assert got["low"].rejection_reason.endswith("(confidence 0.50 below 0.75 threshold)")
     assert got["broken"].rejection_reason.startswith("SLM response could not be parsed")
     assert got["broken"].needs_agent_review and got["broken"].confidence == 0.0
+
+
+def test_containers_are_told_apart(spark):
+    kinds = {
+        b"RIFF\x10\0\0\0WEBPVP8 ": "image/webp",
+        b"RIFF\x10\0\0\0WAVEfmt ": "audio/x-wav",
+        b"RIFF\x10\0\0\0none": "application/octet-stream",
+        b"\0\0\0\x18ftypheic": "image/heic",
+        b"\0\0\0\x18ftypmp42": "video/mp4",
+        b"\0\0\0\x18ftypqt  ": "video/quicktime",
+        b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\0": "application/msword",
+        b"\0asm\1\0\0\0": "application/wasm",
+        b"PK\3\4" + bytes(26) + b"mimetypeapplication/epub+zip": "application/epub+zip",
+    }
+    rows = [(bytearray(lead), mime) for lead, mime in kinds.items()]
+    table = spark.createDataFrame(rows, "content binary, want string")
+    got = table.select(detect_mime(F.col("content")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
