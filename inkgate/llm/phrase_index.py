@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgate.llm.common import records, slices, starts_of
+from inkgate.llm.common import cut_tight, records, slices, starts_of
 from inkgate.session import cut
 
 SEGMENT_WORDS = 400_000
@@ -34,14 +34,11 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def _u32(values: np.ndarray) -> bytes:
-    return values.astype("<u4").tobytes()
-
-
 def build_index(enriched_records: DataFrame, *, job_id: str = "job_id", cleaned_text: str = "cleaned_text") -> DataFrame:
     """Postings of every word of every record: segment, term, positions, job_ids, n_words.
 
-    ``positions`` are little-endian unsigned 32-bit word positions in the segment. The row of a
+    ``positions`` are the word positions in the segment as gaps to the one before (the first: to
+    0), little-endian unsigned 32-bit. The row of a
     segment without a term lists its records in order. Write the table before it is searched:
     segments are numbered by task.
     """
@@ -59,9 +56,11 @@ def build_index(enriched_records: DataFrame, *, job_id: str = "job_id", cleaned_
         for part in slices(read(), lambda r: len(r[1]) + 50, SEGMENT_WORDS):
             flat = [w for _, words in part for w in words]
             codes, terms = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, int), [])
-            order = np.argsort(codes, kind="stable").astype("<u4")
+            order = np.argsort(codes, kind="stable")
             ends = np.cumsum(np.bincount(codes, minlength=len(terms)))[: len(terms)]
-            lists = [p.tobytes() for p in np.split(order, ends[:-1])] if len(terms) else []
+            gaps = np.diff(order, prepend=0)
+            gaps[ends[:-1]] = order[ends[:-1]]
+            lists = [p.tobytes() for p in np.split(gaps.astype("<u4"), ends[:-1])] if len(terms) else []
             segment = (task << 32) + number
             number += 1
             yield pd.DataFrame(
@@ -160,7 +159,7 @@ def _one_pass(index: DataFrame, tests: dict, item_kind: str, slop: int) -> DataF
     def search(keys, rows):
         windows, owners = sent.value["windows"], sent.value["items"]
         lists = {
-            n: np.frombuffer(p, "<u4").astype(np.int64)
+            n: np.cumsum(np.frombuffer(p, "<u4"), dtype=np.int64)
             for n, p in zip(rows["number"], rows["positions"], strict=True)
             if n >= 0
         }
@@ -188,7 +187,8 @@ def _one_pass(index: DataFrame, tests: dict, item_kind: str, slop: int) -> DataF
             out["items"].append(list(found))
         return pd.DataFrame({k: pd.Series(v, dtype=object if k in ("words", "items") else "int64") for k, v in out.items()})
 
-    asked = index.where("term IS NOT NULL").join(terms, "term").select("segment", "number", "positions", F.lit(None).cast("array<long>").alias("n_words"))
+    # at most PASS_WORDS terms are sent to the postings: those stay where they are
+    asked = index.where("term IS NOT NULL").join(F.broadcast(terms), "term").select("segment", "number", "positions", F.lit(None).cast("array<long>").alias("n_words"))
     directory = index.where("term IS NULL").select("segment", F.lit(-1).alias("number"), F.lit(None).cast("binary").alias("positions"), "n_words")
     return (
         asked.unionByName(directory)
@@ -214,5 +214,5 @@ def contamination(
     job ids each get a row of their own. No records, no rows; no items, no hits. Other columns
     of either table are ignored.
     """
-    index = cut(build_index(enriched_records, job_id=job_id, cleaned_text=cleaned_text), "postings")
+    index = cut_tight(build_index(enriched_records, job_id=job_id, cleaned_text=cleaned_text), "postings")
     return search_index(index, items, item_id=item_id, text=text, width=width, slop=slop)
