@@ -6,6 +6,7 @@ A page is a file of the gate: ``filename`` (its URL), ``content`` (bytes) and a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -100,7 +101,7 @@ def write_archives(
                     out.extend(_page_records(_plain(key), url, bytes(payload), _plain(origin), segment_bytes))
                 yield pd.DataFrame({"content": out})
 
-    write_bytes(marked.mapInPandas(archive, "content binary"), path, b"\n")
+    write_bytes(marked.mapInPandas(archive, "content binary"), path, b"\n", gzip=True)
 
 
 def _plain(key):
@@ -152,6 +153,7 @@ def _page_records(key, url: str, payload: bytes, origin, segment_bytes: int) ->
 
 def parse_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
     """(fields by lower-case name, block) of every record of an archive."""
+    content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -223,7 +225,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     through. Revisits have no content, but size and digest of what they refer to. Archives are
     read file by file; a file must fit in a task's memory.
     """
-    records = cut(read_bytes(spark, path).select("content").mapInPandas(_scan, _COLUMNS), "records")
+    # scanned once for whole records and once for segments: dearer to keep than to read again
+    records = read_bytes(spark, path).select("content").mapInPandas(_scan, _COLUMNS)
     whole = records.where("number IS NULL").drop("number", "total")
     segments = records.where("number IS NOT NULL")
     # one record's own segments: as much as its payload
