@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from inkgate.llm.common import records, scratch_path, slices, starts_of
 from inkgate.llm.files import read_bytes, write_bytes
-from inkgate.llm.tokens import Encoder, vocabulary_size
+from inkgate.llm.tokens import encoder, vocabulary_size
 
 STRIDE = 256
 BLOCK_IDS = 1 << 17
@@ -200,7 +200,7 @@ def write_id_files(
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for frame in frames:
             rows = zip(frame["job_id"], frame["cleaned_text"], strict=True)
             for some in slices(rows, lambda r: len(r[1]), 1_000_000):

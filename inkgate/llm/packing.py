@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgate.llm.common import records, slices
-from inkgate.llm.tokens import Encoder
+from inkgate.llm.tokens import encoder
 from inkgate.session import cut
 
 
@@ -88,7 +88,7 @@ def _pieces(path: str, end_id: int, max_length: int):
     """Task: (job_id, cleaned_text) -> pieces numbered by length within the task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task = Encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(max_length + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:

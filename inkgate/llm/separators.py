@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkgate.llm.common import records, slices
 from inkgate.llm.files import read_bytes, write_bytes
-from inkgate.llm.tokens import Encoder
+from inkgate.llm.tokens import encoder
 from inkgate.session import cut
 
 BLOCK_IDS = 1 << 20
@@ -43,7 +43,7 @@ def write_token_files(
         raise ValueError(f"separator {separator} cannot be written as {width}")
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = Encoder(tokenizer)
+        ids_of = encoder(tokenizer)
         for frame in frames:
             for some in slices(frame["cleaned_text"], len, 1_000_000):
                 found = (np.append(np.frombuffer(x, "<u4"), separator).astype(width).tobytes() for x in ids_of(some))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
+from itertools import pairwise
 
 import numpy as np
 
-# Pieces remembered by a task; past it the memory starts anew.
+# Pieces remembered by a Python worker: those met last, in two halves.
 KNOWN_PIECES = 400_000
+# New words that are encoded as one text.
+JOINED_WORDS = 200
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Letters up to another ASCII character, the rest of a word, or a run of white space; the blank
@@ -18,6 +22,8 @@ _PIECE = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\t-\r -@\[-`{-~]|\Z)"
     f"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
+# A blank and letters: one pre-token each, also where many of them follow each other.
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +54,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bounds = self._bounds()
         self.in_pieces = self._splits_at_space(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
 
     @staticmethod
@@ -64,15 +72,56 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _bounds(self) -> tuple[np.ndarray, int]:
+        """Is an id the first (0) or the last (1) of a piece like ``_WORD``, by how its token is written?"""
+        vocabulary = self.tokenizer.get_vocab()
+        end = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        # a blank is the character G with a dot in byte-level vocabularies
+        out[[i for token, i in vocabulary.items() if (token.endswith(end) if end else token.startswith("\u0120"))]] = True
+        return out, int(bool(end))
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """ids of pieces like ``_WORD``: joined, encoded and parted again at the bounds of pieces."""
+        groups = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+        bound, after = self.bounds
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(bound[ids]) + after
+            cuts = (4 * np.append(0, at) if after else 4 * np.append(at, len(ids))).tolist()
+            if len(at) == len(group) and cuts[0] == 0 and cuts[-1] == 4 * len(ids):
+                whole = ids.tobytes()
+                out += [whole[a:b] for a, b in pairwise(cuts)]
+            else:
+                out += self._ids(group)
+        return out
+
+    def _learn(self, pieces: list[list[str]]) -> None:
+        """Make ``known`` hold every piece."""
+        if len(self.known) > KNOWN_PIECES // 2:
+            self.older, self.known = self.known, {}
+        new = set().union(*pieces).difference(self.known)
+        again = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(again)
+        new.difference_update(again)
+        words = list(filter(_WORD.fullmatch, new))
+        rest = list(new.difference(words))
+        for some, ids_of in ((words, self._ids_of_words), (rest, self._ids)):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                self.known.update(zip(part, ids_of(part), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.in_pieces:
             return self._ids(texts)
         pieces = [_PIECE.findall(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self._ids(some), strict=True))
+        self._learn(pieces)
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, with what its earlier tasks have learned."""
+    return Encoder(path)
