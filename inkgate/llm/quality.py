@@ -26,7 +26,7 @@ BUCKETS = 1 << 18
 # Bound of the sample that the hinge-loss model is fitted on.
 FIT_ROWS = 6000
 # Words whose hashes a task keeps; past it the memory starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(r"[^\W\d_]+|\d+|_+|(\W)\1*")
@@ -143,7 +143,7 @@ def features(texts: list[str], words: _Words) -> list[np.ndarray]:
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
-    return slices(texts, len, 1_000_000)
+    return slices(texts, len, 500_000)
 
 
 @dataclass(frozen=True)
