@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{os.urandom(8).hex()}"
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans planned inside cut a table into the same partitions, also when executors come or go."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None):
+        yield
+        return
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def cut_tight(df: DataFrame, label: str) -> DataFrame:
     """Like ``cut``, for large binary columns: written with zstd."""
     path = scratch_path(df.sparkSession, label)

@@ -16,8 +16,9 @@ from inkgate.llm import phrase_index as pi
 from inkgate.llm import quality
 from inkgate.llm import shingle_join as sj
 from inkgate.llm import web_archive
-from inkgate.llm.common import scratch_path
+from inkgate.llm.common import same_splits, scratch_path
 from inkgate.llm.tokens import tokenizer_path
+from inkgate.session import cut
 
 # Documents with this quality score or more are accepted.
 ACCEPTED_FROM = 0.3
@@ -51,16 +52,18 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = document_records(spark, folder)
     path = scratch_path(spark, "token-files")
-    separators.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), path)
-    counts = separators.token_counts(spark, path)
     # The files know no ids: record i of file p is row i of the table's partition p.
-    rows = docs.select(
-        F.col("job_id").alias("doc_id"),
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("turn"),
-    )
+    with same_splits(spark):
+        docs = document_records(spark, folder)
+        separators.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), path)
+        rows = docs.select(
+            F.col("job_id").alias("doc_id"),
+            F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("turn"),
+        )
+        rows = cut(rows, "places")
+    counts = separators.token_counts(spark, path)
     part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
     return counts.withColumn("part", part).join(rows, ["part", "turn"], "full").select("doc_id", "start", "n_tokens")
 
