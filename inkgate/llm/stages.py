@@ -33,8 +33,12 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    found = shingle_join.jaccard_components(_as_records(docs))
+    """The document with the smallest id of each component of near copies.
+
+    Near copies share at least 0.8 of their five-word shingles; ``op6_jaccard_join`` has a rule
+    of its own.
+    """
+    found = shingle_join.jaccard_components(_as_records(docs), shingle_words=5, percent=80)
     return _without(docs, found.where("job_id <> component_id"))
 
 
