@@ -22,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream: a folder of part files, or one file of the parent folder."""
+    folder = folder.rstrip("/")
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    # the file source lists folders; its name filter picks the one file
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 

@@ -65,11 +65,7 @@ def _scratch(spark: SparkSession, label: str) -> str:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = b.table(spark, folder, "events").schema
-    raw = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
-    return raw.select(
+    return b.stream(spark, folder, "events").select(
         F.expr(b.EVENT_JOB).alias("job_id"),
         F.col("event_id").alias("seq"),
         F.expr(b.EVENT_NODE).alias("node"),

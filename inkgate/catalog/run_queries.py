@@ -291,14 +291,8 @@ FROM documents
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The gate as a stream over both tables, run to their end; the job table it wrote."""
     root = f"{shared_folder(spark)}/inkgate/ingest-{uuid.uuid4().hex}"
-
-    def stream(name: str) -> DataFrame:
-        schema = b.table(spark, folder, name).schema
-        reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(folder)
-
-    uploads = b.as_document_files(stream("documents")).unionByName(
-        b.as_page_files(stream("pages"))
+    uploads = b.as_document_files(b.stream(spark, folder, "documents")).unionByName(
+        b.as_page_files(b.stream(spark, folder, "pages"))
     )
     ingest_stream(
         uploads, root, f"{root}/checkpoint", extractors(), b.run_responses(spark, folder)

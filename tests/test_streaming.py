@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from pathlib import Path
 
+import pytest
 
+from inkgate.catalog import event_queries, run_queries
 from inkgate.sources import files as file_source
 from inkgate.streaming import arrivals
 from inkgate.streaming import events as ev
@@ -11,6 +14,7 @@ from test_duplicates import corpus, one_by_one
 
 EVENTS = "job_id string, seq long, node string, status string, timestamp timestamp"
 T0 = dt.datetime(2024, 1, 1, 12)
+TABLES = "/root/testdata/sf0.001"
 
 
 def make_events(n):
@@ -138,3 +142,19 @@ def test_files_arrive(spark, tmp_path):
     uploads = file_source.stream_files(spark, str(inbox))
     arrivals.watch(uploads, judge, str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(seen) == ["a.txt", "b.txt", "c.txt"]
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables here")
+def test_stream_queries_read_folders_of_part_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    for name in ("documents", "pages", "labels", "events"):
+        table = spark.read.parquet(f"{TABLES}/{name}.parquet").limit(60)
+        table.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+        assert len(list(folder.glob(f"{name}.parquet/part-*.parquet"))) == 3
+    where = str(folder)
+    events = event_queries.stream_until_done(spark, where).select("job_id", "seq").collect()
+    want = event_queries.event_stream_until_done(spark, where).select("job_id", "seq").collect()
+    assert want and sorted(map(tuple, events)) == sorted(map(tuple, want))
+    jobs = run_queries.stream_ingest(spark, where).select("job_id", "status").collect()
+    want = run_queries.ingest_cascade(spark, where).select("job_id", "status").collect()
+    assert len(want) > 100 and sorted(map(tuple, jobs)) == sorted(map(tuple, want))
