@@ -1,9 +1,9 @@
 """Language of a text from character trigrams.
 
-Profiles are learned from labelled texts: the most frequent trigrams of each language with
-whole-number log weights. Scoring explodes a text's trigrams, looks them up in the broadcast
-profile and adds up. Rows of one text lie in one task, so the sums combine before the shuffle,
-which carries one row per text.
+Profiles are learned from labelled texts: every trigram of each language with a whole-number log
+weight, one row per trigram and language. Scoring counts a text's trigrams, joins them with the
+profiles and adds up. Neither the trigrams nor the languages are limited; the join is left to
+AQE's size checks.
 """
 
 from __future__ import annotations
@@ -15,19 +15,22 @@ from pyspark.sql import functions as F
 
 from inkgate.session import cut
 
-# Grams kept per language: bounds the broadcast profile to PROFILE_SIZE * languages rows.
+# Grams of a language in the checking SQL, which keeps the most frequent only; nothing here does.
 PROFILE_SIZE = 1000
-MAX_LANGUAGES = 64
 WEIGHT_SCALE = 1_000_000
 UNKNOWN = "unknown"
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """``table(gram, w_<language>...)`` and the languages in name order."""
+    """``table(gram, lang, base, extra)``, in long form.
+
+    ``base`` is the language's weight of a trigram it never has, ``extra`` what its own count adds.
+    Only trigrams that a language has are rows, but the language with the greatest ``base`` has a
+    row for every known trigram: no language without any of a text's trigrams scores higher.
+    """
 
     table: DataFrame
-    languages: list[str]
 
 
 def _grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -35,34 +38,25 @@ def _grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(found).alias("gram"))
 
 
-def learn_profiles(
-    labelled: DataFrame, *, text: str = "text", label: str = "lang", size: int = PROFILE_SIZE
-) -> Profiles:
-    counts = _grams(labelled, text, label).groupBy(label, "gram").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(label).orderBy(F.desc("n"), "gram")
-    top = (
-        counts.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= size)
-        .drop("_rank")
+def learn_profiles(labelled: DataFrame, *, text: str = "text", label: str = "lang") -> Profiles:
+    named = labelled.select(F.col(label).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
+    counts = cut(_grams(named, "text", "lang").groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
+    vocabulary = counts.select("gram").distinct()
+    n_grams = vocabulary.count()
+
+    def weight(count):
+        return F.round(F.log(count / (F.col("total") + n_grams)) * WEIGHT_SCALE).cast("bigint")
+
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("base", weight(F.lit(1)))
+    totals = cut(totals, "totals")
+    extra = (weight(F.col("n") + 1) - F.col("base")).alias("extra")
+    rows = counts.join(totals, "lang").select("gram", "lang", "base", extra)
+    widest = totals.orderBy(F.desc("base"), "lang").select("lang", "base").limit(1)
+    seen = counts.join(widest, "lang", "left_semi").select("gram")
+    rest = vocabulary.join(seen, "gram", "left_anti").crossJoin(widest)
+    return Profiles(
+        cut(rows.unionByName(rest.withColumn("extra", F.lit(0).cast("bigint"))), "profiles")
     )
-    top = cut(top, "grams")
-    totals = top.groupBy(label).agg(F.sum("n").alias("total")).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"{len(totals)} languages; at most {MAX_LANGUAGES} fit one profile")
-    total = {row[label]: row["total"] for row in totals}
-    languages = sorted(total)
-    n_grams = top.select("gram").distinct().count()
-    counted = top.groupBy("gram").pivot(label, languages).agg(F.sum("n"))
-    weights = [
-        F.round(
-            F.log((F.coalesce(F.col(f"`{lang}`"), F.lit(0)) + 1) / F.lit(total[lang] + n_grams))
-            * WEIGHT_SCALE
-        )
-        .cast("bigint")
-        .alias(f"w{i}")
-        for i, lang in enumerate(languages)
-    ]
-    return Profiles(cut(counted.select("gram", *weights), "profiles"), languages)
 
 
 def detect_language(
@@ -72,18 +66,19 @@ def detect_language(
 
     Texts without any known trigram are ``unknown``.
     """
-    scored = (
-        _grams(df, text, key)
-        .join(F.broadcast(profiles.table), "gram")
-        .groupBy(key)
-        .agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(profiles.languages))])
+    counted = _grams(df, text, key).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    sums = (
+        counted.join(profiles.table, "gram")
+        .groupBy(key, "lang")
+        .agg(F.sum(F.col("n") * F.col("extra")).alias("extra"), F.sum("n").alias("n"), F.max("base").alias("base"))
+    )
+    # the language that has rows for every known trigram counts them all
+    known = F.max("n").over(Window.partitionBy(key))
+    score = F.col("extra") + known * F.col("base")
+    winners = sums.select(key, "lang", score.alias("score")).groupBy(key).agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("best")
     )
-    scores = [F.col(f"s{i}") for i in range(len(profiles.languages))]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    language = F.when(F.lit(False), "")
-    for i, lang in enumerate(profiles.languages):
-        language = language.when(F.col(f"s{i}") == best, F.lit(lang))
-    winners = scored.select(key, language.alias("language"))
+    winners = winners.select(key, F.col("best.lang").alias("language"))
     return (
         df.select(key)
         .join(winners, key, "left")
