@@ -99,7 +99,8 @@ def without_copies(
 ) -> DataFrame:
     """The rows of ``table`` that ``exact_copies`` lets stay, with all their columns.
 
-    Only rows whose digest may be repeated shuffle, by job id (no hot key); the rest pass.
+    Only rows whose digest may be repeated shuffle, by job id and digest; the rest pass. Null and
+    repeated ids are told apart by their texts.
     """
     keyed = _keyed(records(table, job_id, cleaned_text))
     words, bits = _passes(keyed, max_filter_bits)
@@ -108,15 +109,12 @@ def without_copies(
     dropped = (
         maybe.join(groups, "sha256")
         .where(~F.col("job_id").eqNullSafe(F.col("first_job_id")))
-        .select(F.col("job_id").alias("dropped_id"))
+        .select(F.col("job_id").alias("dropped_id"), F.col("sha256").alias("dropped_sha256"))
         .distinct()
     )
-    flag = free_name(table, "maybe")
-    text = F.coalesce(F.col(cleaned_text).cast("string"), F.lit(""))
-    flagged = with_flag(table, words, _digest(text), bits, flag)
-    stays = (
-        flagged.where(F.col(flag))
-        .drop(flag)
-        .join(dropped, F.col(job_id).eqNullSafe(F.col("dropped_id")), "left_anti")
-    )
+    flag, digest = free_name(table, "maybe"), free_name(table, "sha256")
+    hashed = _digest(F.coalesce(F.col(cleaned_text).cast("string"), F.lit("")))
+    flagged = with_flag(table, words, hashed, bits, flag)
+    same = F.col(job_id).eqNullSafe(F.col("dropped_id")) & F.col(digest).eqNullSafe(F.col("dropped_sha256"))
+    stays = flagged.where(F.col(flag)).withColumn(digest, hashed).join(dropped, same, "left_anti").drop(flag, digest)
     return flagged.where(~F.col(flag)).drop(flag).unionByName(stays)

@@ -83,6 +83,17 @@ def test_exact_copies_with_null_and_repeated_ids(spark):
     assert found == [(-1, 5, 3, True), (-1, None, 1, False), (5, 5, 3, False), (5, 5, 3, False), (6, 6, 2, False), (7, 6, 2, True)]
 
 
+def test_without_copies_with_null_and_repeated_ids(spark):
+    rows = [(None, "A"), (1, "A"), (None, "B"), (None, "B"), (5, "C"), (2, "C"), (5, "D"), (9, "D"), (5, "D "), (7, "E"), (None, None)]
+    table = spark.createDataFrame(rows, "job_id long, cleaned_text string")
+    for most in (1 << 27, 64):
+        copies = exact_copies.exact_copies(table, max_filter_bits=most).where("NOT is_duplicate")
+        kept = exact_copies.without_copies(table, max_filter_bits=most)
+        found = sorted(map(str, kept.collect()))
+        want = [(1, "A"), (None, "B"), (None, "B"), (2, "C"), (5, "D"), (5, "D "), (7, "E"), (None, None)]
+        assert found == sorted(map(str, spark.createDataFrame(want, kept.schema).collect())) and copies.count() == len(want)
+
+
 # ---- n-gram Jaccard join ---------------------------------------------------------------------
 
 
