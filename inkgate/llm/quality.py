@@ -53,11 +53,13 @@ class _Words(dict):
         if word.isalpha():
             shape = "a" if word.islower() else "Aa" if word[1:].islower() or len(word) == 1 else "A"
         else:
-            shape = "".join(map(_run_shape, _RUN.finditer(word[:80])))
+            shape = "".join(map(_run_shape, _RUN.finditer(word)))
+        # by its hash: the shape of a long word is long too
+        shape = xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass"), 7)
         name = self.names.get(shape)
         if name is None:
             name = self.names[shape] = len(self.names)
-            self.shapes.append(xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass"), 7))
+            self.shapes.append(shape)
         self.word.append(xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")))
         self.shape.append(name)
         place = self[word] = len(self.word) - 1

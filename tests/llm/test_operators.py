@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inkgate.llm import (
@@ -189,6 +190,14 @@ def test_quality_learns_held_out_decisions(spark):
     assert np.mean([(got[i] >= 0.3) == (labels[i] == "accept") for i in range(0, 400, 5)]) > 0.97
 
 
+def test_shape_of_a_long_word_covers_all_of_it():
+    words = quality._Words()
+    long = "ab1" * 40
+    shapes = [words.shapes[words.shape[words[w]]] for w in (long, long + "$", long + "$$$$", "xy7" * 40 + "$$$")]
+    assert len(set(shapes)) == 3 and shapes[2] == shapes[3]
+    assert shapes[0] == xxhash.xxh3_64_intdigest(b"a0" * 40, 7)
+
+
 def test_quality_without_both_decisions(spark):
     table = records(spark, ["a", None])
     none = spark.createDataFrame([], "job_id long, decision string")
