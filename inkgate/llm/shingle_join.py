@@ -7,7 +7,9 @@ used, each on what the ones before let through:
 1. ascending hash, k tokens in the longer prefix, which needs no counts: most records with no
    partner leave here, after a tenth to a fifth of their tokens was looked at;
 2. rarest token first, by exact counts over all records left; tokens nobody shares are dropped;
-3. descending hash, and ascending hash once more, for each candidate pair before it is verified.
+3. descending hash, and ascending hash once more, for each pair of rows before it is verified.
+   Members of large buckets meet in blocks, where counting all shared tokens at once is the
+   cheaper test; no further order is used on them.
 """
 
 from __future__ import annotations
@@ -177,6 +179,22 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _near(tokens: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which two of the sets reach the similarity; ``size`` counts tokens that were dropped too."""
+    ends = np.cumsum([len(t) for t in tokens])
+    flat, column = np.unique(np.concatenate(tokens), return_inverse=True)
+    row = np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(tokens), len(tokens)), np.int64)
+    for at in range(0, len(flat), 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        grid = np.zeros((len(tokens), 4096), np.float32)
+        grid[row[lo:hi], column[lo:hi] - at] = 1
+        both += (grid @ grid.T).astype(np.int64)  # at most 4096: exact
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+
+
 def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of large buckets, compared block by block inside tasks.
 
@@ -195,18 +213,7 @@ def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        ends = np.cumsum([len(t) for t in part["tokens"]])
-        flat, column = np.unique(np.concatenate(list(part["tokens"])), return_inverse=True)
-        row = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(part), len(part)), np.float32)
-        for at in range(0, len(flat), 4096):
-            lo, hi = np.searchsorted(column, (at, at + 4096))
-            grid = np.zeros((len(part), 4096), np.float32)
-            grid[row[lo:hi], column[lo:hi] - at] = 1
-            both += grid @ grid.T
-        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        near = _near(list(part["tokens"]), size, percent)
         found = []
         for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
             x, y = root(label[i]), root(label[j])

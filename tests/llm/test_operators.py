@@ -130,6 +130,15 @@ def test_jaccard_shared_least_is_safe():
             assert least <= m - shingle_join.least_overlap(m, 90) + 1
 
 
+def test_long_sets_right_at_the_threshold_are_near():
+    j = 74_569  # 9 j shared of 10 j tokens; 900 j is no float32
+    both = np.arange(9 * j)
+    for more, want in ((j, True), (j + 1, False)):
+        tokens = [np.append(both, np.arange(j // 2) + 10**7), np.append(both, np.arange(more - j // 2) + 10**8)]
+        near = shingle_join._near(tokens, np.array([len(t) for t in tokens]), 90)
+        assert near.tolist() == [[True, want], [want, True]]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links, cut).collect()}
