@@ -13,9 +13,9 @@ from inkgate.llm import dialogue
 from inkgate.llm import exact_copies as ec
 from inkgate.llm import id_files, packing, page_text, separators
 from inkgate.llm import phrase_index as pi
-from inkgate.llm import quality
+from inkgate.llm import quality, resampling
 from inkgate.llm import shingle_join as sj
-from inkgate.llm import web_archive
+from inkgate.llm import turn_repair, vector_graph, web_archive
 from inkgate.llm.common import same_splits, scratch_path
 from inkgate.llm.tokens import tokenizer_path
 from inkgate.session import cut
@@ -253,6 +253,59 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
 FROM d
 """
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the checksum of dialogue and turn number."""
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(f"{c}_name") for c in ("conv_id", "turn")),
+    )
+    kind = F.crc32(F.concat("conv_id_name", F.lit(":"), "turn_name").cast("binary")) % 20
+    rows = rows.withColumn("kind", kind).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations")
+    found = turn_repair.repair(damaged_turns(conversations))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    judged = found.dialogues.select(F.col("conv_id").alias("judged"), *counts, "audit")
+    hashed = turn_repair.fingerprints(found).select(F.col("conv_id").alias("hashed"), "repaired_sha256")
+    return (
+        conversations.select("conv_id")
+        .distinct()
+        .join(judged, F.col("conv_id").eqNullSafe(F.col("judged")), "left")
+        .join(hashed, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+        .select(
+            "conv_id",
+            *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
+def op12_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = vector_graph.build_index(vectors)
+    found = vector_graph.nearest(index, vectors.where("id % 50 = 0"), k=5)
+    return found.select(F.col("id").alias("query_id"), "rank", F.col("neighbour_id").alias("vec_id"), F.col("cosine").alias("score"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(document_records(spark, folder), _table(spark, folder, "benchmark"))
+    return drawn.select(F.col("job_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -264,6 +317,9 @@ QUERIES = {
     "op8_perspectives": op8_perspectives,
     "op9_page_text": op9_page_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_vector_graph": op12_vector_graph,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES = {
     "op3_web_archive": OP3_SQL,
