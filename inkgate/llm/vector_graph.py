@@ -243,9 +243,10 @@ def nearest(index: VectorIndex, queries: DataFrame, *, k: int = 5, beam: int = S
     A query does not find rows of its own id. Nearest first, equal cosines by the smaller id; with
     fewer candidates, all of them. Cosines are computed in double precision from the vectors as
     given. Queries that ``build_index`` would leave out have no rows; nor have vectors of a length
-    that the index doesn't hold. Queries visit every shard, in blocks of about ``QUERY_BLOCK``.
+    that the index doesn't hold. Rows that repeat an id are one query, with the least vector; as
+    candidates they stay apart. Queries visit every shard, in blocks of about ``QUERY_BLOCK``.
     """
-    asked = usable(queries).withColumn("dim", F.size("vec"))
+    asked = usable(queries).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     left = index.nodes.withColumn("block", every(blocks))
