@@ -6,6 +6,8 @@ SQL text both engines read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table as a stream: a folder of part files, or one file of the parent folder."""
-    folder = folder.rstrip("/")
-    reader = spark.readStream.schema(table(spark, folder, name).schema)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return reader.parquet(f"{folder}/{name}.parquet")
-    # the file source lists folders; its name filter picks the one file
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def in_turns(
+    rows: DataFrame, order: str, inbox: str, turns: int, run: Callable[[DataFrame], None]
+) -> None:
+    """``rows`` arrive in the folder ``inbox`` in ``turns`` parts by ``order``, equally wide; after
+    each part ``run`` gets the stream over the folder, so every part is a micro-batch of its own."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // turns))
+    part = F.coalesce(F.expr(f"({order} - {low or 0}L) div {width}L"), F.lit(0))
+    for turn in range(turns):
+        rows.where(part == turn).write.mode("append").parquet(inbox)
+        run(spark.readStream.schema(rows.schema).parquet(inbox))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

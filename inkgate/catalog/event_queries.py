@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgate import fixed_values as fv
 from inkgate.catalog import bindings as b
-from inkgate.session import shared_folder
+from inkgate.session import new_path
 from inkgate.sources import tables
 from inkgate.streaming import events as ev
 
@@ -60,24 +58,17 @@ WHERE s IS NOT NULL AND f IS NOT NULL
 """
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/inkgate/{label}-{uuid.uuid4().hex}"
-
-
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return b.stream(spark, folder, "events").select(
-        F.expr(b.EVENT_JOB).alias("job_id"),
-        F.col("event_id").alias("seq"),
-        F.expr(b.EVENT_NODE).alias("node"),
-        F.expr(b.EVENT_STATUS).alias("status"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-    )
+def stream_until_done(spark: SparkSession, folder: str) -> DataFrame:
+    """The delivery stream over four parts of the table that arrive one after the other, each a run
+    of its own from the checkpoint of the last; then read back. Jobs close in one part and go on
+    having events in later ones."""
+    root = new_path(spark, "delivery")
+    named = b.node_events(spark, folder).select("job_id", "seq", "node", "status", "timestamp")
 
+    def run(stream: DataFrame) -> None:
+        ev.deliver_until_done(stream, root, f"{root}/checkpoint").awaitTermination()
 
-def stream_until_done(spark: SparkSession, folder: str) -> DataFrame:
-    """The delivery stream run to the end of the table, then read back."""
-    root = _scratch(spark, "delivery")
-    ev.deliver_until_done(_event_stream(spark, folder), root, f"{root}/checkpoint").awaitTermination()
+    b.in_turns(named, "seq", f"{root}/inbox", 4, run)
     schema = T.StructType(
         [
             T.StructField("job_id", T.StringType()),

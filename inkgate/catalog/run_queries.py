@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from inkgate.operators import tracking
 from inkgate.plans import persist
 from inkgate.plans.enrich import EnrichRun, accepted_documents, enrich
 from inkgate.plans.ingest import ingest
-from inkgate.session import shared_folder
+from inkgate.session import new_path
 from inkgate.sources import tables
 from inkgate.streaming import events
 from inkgate.streaming.arrivals import ingest_stream
@@ -289,14 +287,16 @@ FROM documents
 """
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """The gate as a stream over both tables, run to their end; the job table it wrote."""
-    root = f"{shared_folder(spark)}/inkgate/ingest-{uuid.uuid4().hex}"
-    uploads = b.as_document_files(b.stream(spark, folder, "documents")).unionByName(
-        b.as_page_files(b.stream(spark, folder, "pages"))
-    )
-    ingest_stream(
-        uploads, root, f"{root}/checkpoint", extractors(), b.run_responses(spark, folder)
-    ).awaitTermination()
+    """The gate as a stream over both tables in order of arrival: documents in two parts, then
+    pages, each a run of its own that meets the store of those before; the job table it wrote."""
+    root = new_path(spark, "ingest")
+    responses = b.run_responses(spark, folder)
+
+    def run(stream: DataFrame) -> None:
+        ingest_stream(stream, root, f"{root}/checkpoint", extractors(), responses).awaitTermination()
+
+    b.in_turns(b.document_files(spark, folder), "arrival", f"{root}/inbox", 2, run)
+    b.in_turns(b.page_files(spark, folder), "arrival", f"{root}/inbox", 1, run)
     jobs = spark.read.parquet(tables.table_path(root, "jobs"))
     return jobs.select("job_id", "status", *tracking.PATCH_FIELDS)
 

@@ -51,6 +51,11 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/inkgate/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path nobody uses yet, in the folder that ``scratch`` or ``drop_written`` removes."""
+    return f"{_scope.get() or _own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
@@ -59,8 +64,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     ``drop_written`` removes them.
     """
     spark = df.sparkSession
-    folder = _scope.get() or _own_folder(spark)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

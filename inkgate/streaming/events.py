@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from inkgate import fixed_values as fv
 from inkgate.operators.tracking import STEPS, outcome
 from inkgate.sources import tables
+from inkgate.streaming.closing import KEEP_CLOSED, stateful_settings, while_open
 
 FINISHED = ("passed", "failed")
 CLOSED_SCHEMA = T.StructType(
@@ -101,31 +104,29 @@ def step_durations(events: DataFrame) -> DataFrame:
     )
 
 
-def deliver_until_done(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def deliver_until_done(
+    events: DataFrame, root: str, checkpoint: str, *, keep_closed: dt.timedelta = KEEP_CLOSED
+) -> StreamingQuery:
     """Stream events into ``root/delivered``, closing each job at its ``done``.
 
-    Closed jobs are kept as a table next to the output. A batch sees only what earlier
-    batches closed and replaces its own partition, so a replay gives the same rows.
+    Events of a job that an earlier batch closed are dropped by keyed state, which forgets the
+    job ``keep_closed`` later; so long events may come late. Inside the batch of the ``done`` the
+    order of ``seq`` decides. A replayed batch finds the state of its first run and replaces its
+    own partition.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        closed = tables.read_before(spark, root, "closed", CLOSED_SCHEMA, batch_id)
-        batch = batch.join(closed.select("job_id"), "job_id", "left_anti").persist()
+        batch = batch.persist()
         try:
             tables.append_batch(until_done(batch), root, "delivered", batch_id)
-            ends = (
-                batch.where(F.col("status") == "done")
-                .groupBy("job_id")
-                .agg(F.min("seq").alias("done_seq"))
-            )
-            tables.append_batch(ends, root, "closed", batch_id)
         finally:
             batch.unpersist()
 
-    return (
-        events.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stateful_settings(events.sparkSession):
+        return (
+            while_open(events, keep_closed)
+            .writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )

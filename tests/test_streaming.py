@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -56,6 +57,41 @@ def test_stream_of_events_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == want
 
 
+def deliver(spark, root, rows, **options):
+    """One more part of the events arrives and is delivered; progress of its batches."""
+    write_batches(spark, rows, EVENTS, root + "/in", len(rows))
+    stream = spark.readStream.schema(spark.createDataFrame([], EVENTS).schema).parquet(root + "/in")
+    query = ev.deliver_until_done(stream, root, root + "/checkpoint", **options)
+    query.awaitTermination()
+    return query.recentProgress
+
+
+def test_state_keeps_closed_jobs_and_forgets_them(spark, tmp_path):
+    root = str(tmp_path)
+    big = 2**60
+    first = [("a", big + 1, "n", "started", T0), ("a", big + 3, "n", "done", T0), ("a", big + 4, "n", "passed", T0), ("b", 1, "n", "started", None)]
+    second = [("a", big + 5, "n", "passed", T0), ("b", None, "n", "done", T0), ("c", 7, "n", "done", T0), (None, 8, None, "done", T0)]
+    third = [("a", 1, "n", "started", T0), ("b", 2**53 + 1, "n", "passed", T0), ("c", 8, "n", "done", T0), (None, 9, "n", "passed", T0)]
+    rows = []
+    for part, closed in ((first, 1), (second, 3), (third, 3)):
+        rows.append(deliver(spark, root, part)[-1]["stateOperators"][0]["numRowsTotal"])
+        assert rows[-1] == closed
+    got = sorted(((r.job_id or "", r.seq or 0) for r in spark.read.parquet(root + "/delivered").collect()))
+    assert got == sorted([("a", big + 1), ("a", big + 3), ("b", 1), ("b", 0), ("c", 7), ("", 8), ("b", 2**53 + 1)])
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_state_shrinks_after_its_time(spark, tmp_path):
+    root, keep = str(tmp_path), dt.timedelta(seconds=1)
+    jobs = [(f"j{i}", i, "n", "done", T0) for i in range(20)]
+    assert deliver(spark, root, jobs, keep_closed=keep)[-1]["stateOperators"][0]["numRowsTotal"] == 20
+    time.sleep(1.5)
+    last = deliver(spark, root, [("k", 50, "n", "done", T0), ("j1", 51, "n", "started", T0)], keep_closed=keep)[-1]
+    # the old jobs are gone, and j1 is open again
+    assert last["stateOperators"][0]["numRowsTotal"] == 1
+    assert spark.read.parquet(root + "/delivered").where("job_id = 'j1'").count() == 2
+
+
 def test_closed_jobs_deliver_nothing(spark):
     df = spark.createDataFrame(make_events(40), EVENTS)
     closed = spark.createDataFrame([("j1", 3), ("j2", 5)], ev.CLOSED_SCHEMA)
