@@ -1,253 +1,295 @@
-"""Dense vectors compared by cosine in blocks.
-
-Vectors are spread over cells around pivot vectors. By the triangle inequality on angles, a
-vector can only be similar to members of another cell when it is not more than twice the
-threshold angle further from that cell's pivot than from its own; only then does it visit the
-cell. Inside a cell the comparison is a matrix product over blocks of bounded size, spread
-over tasks by a two-way salt, so a crowded cell is split however large it is.
+"""Dense vectors compared by cosine in blocks, exactly.
+
+Vectors lie in cells around pivot vectors; a cell knows its radius, the widest angle of a member
+to the pivot. By the triangle inequality on angles, two cells can hold similar vectors only when
+their pivots are no further apart than both radii and the threshold angle; other pairs of cells
+never meet. The vectors of a cell are packed into blocks, one row each, inside the tasks that
+read them. A pair of blocks is one matrix product; a table compared with itself meets every pair
+of blocks once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkgate.functions.vectors import norm, unit
 from inkgate.operators.first_wins import Matcher
+from inkgate.session import cut
 
+MIN_CELLS = 4
 MAX_CELLS = 1024
 ROWS_PER_CELL = 4096
-BLOCK_ROWS = 4096
-# Angles are widened by this much before a cell is ruled out, far above rounding errors.
+BLOCK_ROWS = 2048
+# Rows of all cells that a task holds before it packs them.
+HELD_ROWS = 32_768
+# Angles are widened by this much before cells are ruled out, far above rounding errors.
 ANGLE_SLACK = 1e-6
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Pivots as rows of a matrix, and the radius of each cell (-inf: empty). At most MAX_CELLS."""
+
+    pivots: np.ndarray
+    radii: np.ndarray
+
+    def meeting(self, angle: float) -> list[tuple[int, int]]:
+        """Pairs of cells that may hold vectors within ``angle`` of each other, both ways round."""
+        apart = _angles(self.pivots, self.pivots)
+        near = apart <= self.radii[:, None] + self.radii[None, :] + angle + ANGLE_SLACK
+        return list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+    def reached(self, radii: np.ndarray, threshold: float) -> list[int]:
+        """Cells in which a table with ``radii`` may hold vectors similar to one of these cells."""
+        apart = _angles(self.pivots, self.pivots)
+        near = apart <= self.radii[:, None] + radii[None, :] + math.acos(threshold) + ANGLE_SLACK
+        return np.flatnonzero(near.any(axis=0)).tolist()
+
+    def beside(self, radii: np.ndarray) -> Cells:
+        """The cells of this table and one with ``radii`` together."""
+        return Cells(self.pivots, np.maximum(self.radii, radii))
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(id, vec) with unit length; vectors without length have no neighbours."""
-    return vectors.where(norm(F.col("vec")) > 0).select(
-        "id", unit(F.col("vec")).alias("vec")
-    )
+    return vectors.where(norm(F.col("vec")) > 0).select("id", unit(F.col("vec")).alias("vec"))
 
 
-def choose_pivots(units: DataFrame, *, cells: int | None = None) -> np.ndarray | None:
-    """At most ``MAX_CELLS`` vectors picked by hash order; None when one cell will do.
+def choose_pivots(units: DataFrame, *, cells: int | None = None) -> np.ndarray:
+    """At most ``MAX_CELLS`` vectors, far apart: out of a sample by hash order, of 4 for each, the
+    one farthest from those picked so far is next. Groups of similar vectors then have a pivot of
+    their own and cells are narrow.
 
-    They decide only where vectors are compared, not what is found.
+    They decide only which blocks are compared, not what is found.
     """
     if cells is None:
-        cells = min(MAX_CELLS, units.count() // ROWS_PER_CELL)
-    if cells < 2:
-        return None
-    rows = units.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
-    return np.array([row["vec"] for row in rows], dtype=np.float64)
+        cells = min(MAX_CELLS, max(MIN_CELLS, units.count() // ROWS_PER_CELL))
+    rows = units.orderBy(F.xxhash64("id"), "id").limit(4 * cells).select("vec").collect()
+    if not rows:
+        return np.zeros((1, 1))
+    sample = np.array([row["vec"] for row in rows], dtype=np.float64)
+    picked, near = [0], sample @ sample[0]
+    while len(picked) < min(cells, len(sample)):
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[picked[-1]])
+    return sample[picked]
 
 
 def _angles(block: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(block @ pivots.T, -1.0, 1.0))
 
 
-def cell_members(units: DataFrame, pivots: np.ndarray | None, threshold: float) -> DataFrame:
-    """(id, n_members, bucket): the home cell and the lower-numbered cells visited.
-
-    Of two vectors at home in different cells one visits the other's, so each similar pair
-    shares a cell.
-    """
-    if pivots is None:
-        return units.select(
-            "id", F.lit(1).alias("n_members"), F.lit(0).alias("bucket")
-        )
-    reach = 2.0 * math.acos(threshold) + ANGLE_SLACK
-
-    @F.pandas_udf("array<int>")
-    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            angles = _angles(np.stack(vectors.to_numpy()), pivots)
-            homes = angles.argmin(axis=1)
-            own = angles[np.arange(len(homes)), homes]
-            visited = angles <= (own + reach)[:, None]
-            yield pd.Series(
-                [np.flatnonzero(v[: h + 1]).astype("int32") for v, h in zip(visited, homes)]
-            )
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
 
-    placed = units.select("id", cells("vec").alias("_cells"))
-    return placed.select(
-        "id",
-        F.size("_cells").alias("n_members"),
-        F.explode("_cells").alias("bucket"),
-    )
 
+def in_cells(units: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, cell, angle, vec): the nearest pivot of each vector and the angle to it. Write it."""
+    id_type = units.schema["id"].dataType.simpleString()
 
-def _parts(members: DataFrame) -> dict[int, int]:
-    """Blocks per cell; one number for each of at most MAX_CELLS cells."""
-    counts = members.groupBy("bucket").count().collect()
-    return {row["bucket"]: -(-row["count"] // BLOCK_ROWS) for row in counts}
-
-
-def _lookup(parts: dict[int, int]) -> Column:
-    """The number of blocks of a row's cell: a constant unless some cell is crowded."""
-    crowded = {cell: n for cell, n in parts.items() if n > 1}
-    if not crowded:
-        return F.lit(1)
-    table = [1] * (max(crowded) + 1)
-    for cell, n in crowded.items():
-        table[cell] = n
-    return F.coalesce(F.get(F.array(*[F.lit(n) for n in table]), F.col("bucket")), F.lit(1))
-
-
-def _blocked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with (bucket, lpart, rpart): every left block meets every right block."""
-    left_parts, right_parts = _lookup(_parts(left)), _lookup(_parts(right))
-    own = F.pmod(F.xxhash64("id"), F.col("_own")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("_other") - 1))
-    left = left.withColumn("_own", left_parts).withColumn("_other", right_parts)
-    right = right.withColumn("_own", right_parts).withColumn("_other", left_parts)
-    return (
-        left.withColumn("lpart", own).withColumn("rpart", others).drop("_own", "_other"),
-        right.withColumn("rpart", own).withColumn("lpart", others).drop("_own", "_other"),
-    )
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            angles = _angles(_matrix(batch.column("vec")), pivots)
+            cell = angles.argmin(axis=1).astype(np.int32)
+            own = angles[np.arange(len(cell)), cell]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(cell), pa.array(own), batch.column("vec")],
+                names=["id", "cell", "angle", "vec"],
+            )
 
+    return units.select("id", "vec").mapInArrow(place, f"id {id_type}, cell int, angle double, vec array<double>")
+
+
+def measure(placed: DataFrame, pivots: np.ndarray) -> Cells:
+    """The radii of the cells of ``in_cells``: one number for each of at most MAX_CELLS."""
+    radii = np.full(len(pivots), -np.inf)
+    for row in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect():
+        radii[row["cell"]] = row["r"]
+    return Cells(pivots, radii)
+
+
+def _pack(rows: DataFrame) -> DataFrame:
+    """rows(id, cell, vec) -> (block, cell, ids, vecs): blocks of one cell, cut inside the tasks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, count = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            ids = np.concatenate([h[0] for h in held])
+            cells = np.concatenate([h[1] for h in held])
+            vecs = np.concatenate([h[2] for h in held])
+            order = np.argsort(cells, kind="stable")
+            starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
+                for low in range(start, end, BLOCK_ROWS):
+                    part = order[low : min(end, low + BLOCK_ROWS)]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([(task << 32) + number]),
+                            "cell": pa.array([cells[part[0]]], pa.int32()),
+                            "ids": pa.array([ids[part].tobytes()], pa.binary()),
+                            "vecs": pa.array([vecs[part].tobytes()], pa.binary()),
+                        }
+                    )
+                    number += 1
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((batch.column("id").to_numpy(), batch.column("cell").to_numpy(), _matrix(batch.column("vec"))))
+            count += batch.num_rows
+            if count >= HELD_ROWS:
+                yield from flush()
+                held, count = [], 0
+        if held:
+            yield from flush()
+
+    return rows.select("id", "cell", "vec").mapInArrow(pack, "block long, cell int, ids binary, vecs binary")
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(table.column("ids")[0].as_buffer(), np.int64)
+    return ids, np.frombuffer(table.column("vecs")[0].as_buffer(), np.float64).reshape(len(ids), -1)
+
+
+def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare(left ids, left matrix, right ids, right matrix)`` for every (a, b) of ``pairs``:
+    a block is sent once for each partner, as one row."""
+
+    def one(table_a: pa.Table, table_b: pa.Table) -> pa.Table:
+        return compare(*_unpack(table_a), *_unpack(table_b))
+
+    sides = []
+    for table, own in ((left, "a"), (right, "b")):
+        named = table.select(F.col("block").alias(own), "ids", "vecs")
+        sides.append(pairs.join(named, own).select(F.col("a").alias("of_a"), F.col("b").alias("of_b"), "ids", "vecs").groupBy("of_a", "of_b"))
+    return sides[0].cogroup(sides[1]).applyInArrow(one, schema)
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, cell_pairs: list[tuple[int, int]]) -> DataFrame:
+    spark = left.sparkSession
+    frame = pd.DataFrame(cell_pairs, columns=["cell_a", "cell_b"], dtype="int32")
+    meeting = spark.createDataFrame(frame, "cell_a int, cell_b int")
+    a = left.select(F.col("block").alias("a"), F.col("cell").alias("cell_a"))
+    b = right.select(F.col("block").alias("b"), F.col("cell").alias("cell_b"))
+    return a.join(F.broadcast(meeting), "cell_a").join(b, "cell_b").select("a", "b")
+
+
+def vector_matcher(cells: Cells, threshold: float, *, any_order: bool = False) -> Matcher:
+    """Pairs (a, b, cosine) with cosine >= threshold, a < b, among rows(id, cell, vec) of
+    ``in_cells``. With ``any_order`` the left side is taken as it is, whatever its ids."""
+    meeting = cells.meeting(math.acos(threshold))
 
-def _cogrouped(left: DataFrame, right: DataFrame):
-    """Both sides by block; fresh names keep the sides apart when both come from one table."""
-    grid = ["bucket", "lpart", "rpart"]
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid))
+    def match(left: DataFrame, right: DataFrame) -> DataFrame:
+        alone = left is right
+
+        def compare(a: np.ndarray, left_matrix: np.ndarray, b: np.ndarray, right_matrix: np.ndarray) -> pa.Table:
+            similar = left_matrix @ right_matrix.T
+            rows, cols = np.nonzero(similar >= threshold)
+            first, second, cosine = a[rows], b[cols], similar[rows, cols]
+            if alone and len(a) == len(b) and (a == b).all():
+                keep = first < second
+            elif alone:
+                first, second = np.minimum(first, second), np.maximum(first, second)
+                keep = slice(None)
+            else:
+                keep = slice(None) if any_order else first < second
+            return pa.table({"a": first[keep], "b": second[keep], "cosine": cosine[keep]})
+
+        lhs = cut(_pack(left), "blocks")
+        rhs = lhs if alone else cut(_pack(right), "blocks")
+        pairs = _block_pairs(lhs, rhs, meeting)
+        if alone:
+            pairs = pairs.where("a <= b")
+        return _meet(lhs, rhs, pairs, compare, "a long, b long, cosine double")
 
+    return match
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["vec"].to_numpy()).astype(np.float64)
 
+# ---- nearest neighbours ----------------------------------------------------------------------
 
-_PAIR_SCHEMA = T.StructType(
-    [
-        T.StructField("a", T.LongType()),
-        T.StructField("b", T.LongType()),
-        T.StructField("cosine", T.DoubleType()),
-    ]
-)
 
+def _first_k(near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` highest of each row, ties by the lower id; ``ids`` ascend."""
+    k = min(k, near.shape[1])
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    above, level = near > least[:, None], near == least[:, None]
+    wanted = k - above.sum(axis=1)
+    level &= np.cumsum(level, axis=1) <= wanted[:, None]
+    return np.nonzero(above | level)
 
-def vector_matcher(units: DataFrame, threshold: float) -> Matcher:
-    """Pairs (a, b, cosine) with cosine >= threshold, a < b, among members of a cell."""
-    vectors = units.select("id", "vec")
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        similar = _matrix(left) @ _matrix(right).T
-        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-        rows, cols = np.nonzero(similar >= threshold)
-        before = li[rows] < ri[cols]
-        rows, cols = rows[before], cols[before]
-        return pd.DataFrame({"a": li[rows], "b": ri[cols], "cosine": similar[rows, cols]})
+def _best_in_blocks(probes: DataFrame, store: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour_id, cosine): the ``k`` best of each pair of blocks, for each probe."""
 
-    def match(left: DataFrame, right: DataFrame) -> DataFrame:
-        lhs, rhs = _blocked(left.select("id", "bucket"), right.select("id", "bucket"))
-        lhs, rhs = lhs.join(vectors, "id"), rhs.join(vectors, "id")
-        # a pair that meets in several cells is listed once per cell
-        return (
-            _cogrouped(lhs, rhs)
-            .applyInPandas(compare, _PAIR_SCHEMA)
-            .dropDuplicates(["a", "b"])
-        )
+    def best(probe_ids: np.ndarray, left: np.ndarray, store_ids: np.ndarray, right: np.ndarray) -> pa.Table:
+        order = np.argsort(store_ids, kind="stable")
+        store_ids, near = store_ids[order], left @ right[order].T
+        near[probe_ids[:, None] == store_ids[None, :]] = -np.inf
+        rows, cols = _first_k(near, store_ids, k)
+        found = near[rows, cols] > -np.inf
+        rows, cols = rows[found], cols[found]
+        return pa.table({"id": probe_ids[rows], "neighbour_id": store_ids[cols], "cosine": near[rows, cols]})
 
-    return match
+    return _meet(probes, store, pairs, best, "id long, neighbour_id long, cosine double")
 
 
-_BEST_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("neighbour_id", T.LongType()),
-        T.StructField("cosine", T.DoubleType()),
-    ]
-)
-
-
-def _best_in_blocks(probes: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, neighbour_id, cosine): best store vector for each probe within shared cells."""
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "neighbour_id": [], "cosine": []})
-        similar = _matrix(left) @ _matrix(right).T
-        store_ids, probe_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        similar[store_ids[:, None] == probe_ids[None, :]] = -2.0
-        top = similar.max(axis=0)
-        # equal best values: the lowest id is named
-        nearest = np.where(similar == top[None, :], store_ids[:, None], np.iinfo("int64").max)
-        found = pd.DataFrame(
-            {"id": probe_ids, "neighbour_id": nearest.min(axis=0), "cosine": top}
-        )
-        return found[found["cosine"] > -2.0]
-
-    lhs, rhs = _blocked(store, probes)
-    return _cogrouped(lhs, rhs).applyInPandas(best, _BEST_SCHEMA)
-
-
-def _keep_best(found: DataFrame) -> DataFrame:
-    return found.groupBy("id").agg(
-        F.max(F.struct("cosine", (-F.col("neighbour_id")).alias("_neg"))).alias("_best")
-    ).select(
-        "id", (-F.col("_best._neg")).alias("neighbour_id"), F.col("_best.cosine").alias("cosine")
-    )
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_neighbour(
-    probes: DataFrame, store: DataFrame, *, pivots: np.ndarray | None = None
-) -> DataFrame:
-    """The most similar stored vector of each probe (itself excluded), exactly.
+def nearest(probes: DataFrame, store: DataFrame, cells: Cells, *, k: int = 1) -> DataFrame:
+    """(id, rank, neighbour_id, cosine): the ``k`` most similar stored vectors of each probe
+    (itself excluded), exactly; equal cosines by the lower id.
 
-    First within the probe's home cell, which gives a similarity to beat; then in the cells
-    that could still hold a nearer one, judged by the cell's widest angle.
-    Both inputs are (id, vec) with unit vectors and should be written tables.
+    First within the probe's own cell, which gives a similarity to beat; then in the cells that
+    could still hold a nearer one, judged by their radius. Each pair of blocks gives its ``k``
+    best, ranked away before the shuffle where they are too many. Both inputs are rows(id, cell,
+    vec) of ``in_cells`` over the same pivots, ``cells`` measured over the store; write them.
     """
-    if pivots is None:
-        one_cell = F.lit(0).alias("bucket")
-        found = _best_in_blocks(
-            probes.select("id", "vec", one_cell), store.select("id", "vec", one_cell)
-        )
-        return _keep_best(found)
-
-    @F.pandas_udf("struct<cell:int,angle:double>")
-    def home(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for vectors in batches:
-            angles = _angles(np.stack(vectors.to_numpy()), pivots)
-            cell = angles.argmin(axis=1)
-            yield pd.DataFrame(
-                {"cell": cell.astype("int32"), "angle": angles[np.arange(len(cell)), cell]}
-            )
-
-    housed = store.select("id", "vec", home("vec").alias("_home")).select(
-        "id", "vec", F.col("_home.cell").alias("bucket"), F.col("_home.angle").alias("_angle")
-    )
-    widths = np.full(len(pivots), -np.inf)
-    for row in housed.groupBy("bucket").agg(F.max("_angle").alias("w")).collect():
-        widths[row["bucket"]] = row["w"]
-    housed = housed.drop("_angle")
-    at_home = probes.select("id", "vec", home("vec")["cell"].alias("bucket"))
-    first = _keep_best(_best_in_blocks(at_home, housed))
-
-    @F.pandas_udf("array<int>")
-    def still_open(
-        batches: Iterator[tuple[pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        for vectors, cosines in batches:
-            angles = _angles(np.stack(vectors.to_numpy()), pivots)
-            beat = np.arccos(np.clip(cosines.fillna(-1.0).to_numpy(), -1.0, 1.0))
-            maybe = angles - widths[None, :] <= beat[:, None] + ANGLE_SLACK
-            maybe[np.arange(len(angles)), angles.argmin(axis=1)] = False
-            yield pd.Series([np.flatnonzero(m).astype("int32") for m in maybe])
-
-    second_probes = (
-        probes.select("id", "vec")
-        .join(first.select("id", "cosine"), "id", "left")
-        .select("id", "vec", F.explode(still_open("vec", "cosine")).alias("bucket"))
+    stored = cut(_pack(store), "store")
+    at_home = cut(_pack(probes), "probes")
+    everywhere = [(c, c) for c in range(len(cells.pivots))]
+    first = cut(_merge(_best_in_blocks(at_home, stored, _block_pairs(at_home, stored, everywhere), k), k), "first")
+    beat = first.groupBy("id").agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("n"))
+    beat = beat.select(F.col("id").alias("of"), F.when(F.col("n") == k, F.col("least")).alias("least"))
+    pivots, radii = cells.pivots, cells.radii
+
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            angles = _angles(_matrix(batch.column("vec")), pivots)
+            least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            reach = np.arccos(np.clip(np.where(np.isnan(least), -1.0, least), -1.0, 1.0))
+            maybe = angles - radii[None, :] <= reach[:, None] + ANGLE_SLACK
+            maybe[np.arange(len(angles)), batch.column("cell").to_numpy()] = False
+            rows, cols = np.nonzero(maybe)
+            for low in range(0, len(rows), HELD_ROWS):
+                part = slice(low, low + HELD_ROWS)
+                taken = pa.array(rows[part])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(taken), pa.array(cols[part].astype(np.int32)), batch.column("vec").take(taken)],
+                    names=["id", "cell", "vec"],
+                )
+
+    waiting = probes.join(beat, F.col("id") == F.col("of"), "left").select("id", "cell", "vec", "least")
+    further = cut(_pack(waiting.mapInArrow(open_cells, "id long, cell int, vec array<double>")), "probes")
+    second = _best_in_blocks(further, stored, _block_pairs(further, stored, everywhere), k)
+    return _merge(first.select("id", "neighbour_id", "cosine").unionByName(second), k).select(
+        "id", "rank", "neighbour_id", "cosine"
     )
-    second = _best_in_blocks(second_probes, housed)
-    return _keep_best(first.unionByName(second))

@@ -29,6 +29,7 @@ MEMBER_SCHEMA = T.StructType(
         T.StructField("id", T.StringType()),
         T.StructField("n_members", T.IntegerType()),
         T.StructField("n_words", T.IntegerType()),
+        T.StructField("signature", T.ArrayType(T.LongType())),
         T.StructField("place", T.IntegerType()),
         T.StructField("bucket", T.LongType()),
     ]

@@ -7,10 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgate.operators import duplicates
+from inkgate.operators import duplicates, first_wins
 from inkgate.operators import token_similarity as ts
 from inkgate.operators import vector_similarity as vs
-from inkgate.operators.first_wins import keep_first
 from inkgate.session import cut
 
 
@@ -74,7 +73,7 @@ def run(spark, docs, **options):
 )
 def test_same_as_one_by_one(spark, seed, hot, front):
     docs = corpus(random.Random(seed), 150, hot=hot)
-    got = run(spark, docs, front_size=front)
+    got = run(spark, docs, first_wave=front)
     want = one_by_one(docs, 0.85)
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     for key, (_, score) in want.items():
@@ -129,29 +128,78 @@ def greedy(vectors, threshold):
     return kept
 
 
-@pytest.mark.parametrize(("cells", "front", "block"), [(1, 1000, 4096), (7, 1000, 4096), (7, 4, 16)])
-def test_vectors_over_cells_and_blocks(spark, monkeypatch, cells, front, block):
+def in_cells(df, cells=None):
+    units = vs.unit_vectors(df)
+    pivots = vs.choose_pivots(units, cells=cells)
+    placed = cut(vs.in_cells(units, pivots), "vectors")
+    return placed, vs.measure(placed, pivots)
+
+
+@pytest.mark.parametrize(
+    ("cells", "wave", "block", "small"), [(1, 1000, 4096, 4096), (7, 1000, 16, 0), (7, 4, 16, 64), (40, 50, 3, 0)]
+)
+def test_vectors_over_cells_blocks_and_waves(spark, monkeypatch, cells, wave, block, small):
     rng = np.random.default_rng(5)
     centres = rng.normal(0, 1, (9, 12))
     rows = unit_rows(rng, 160, 12, centres)
     monkeypatch.setattr(vs, "BLOCK_ROWS", block)
+    monkeypatch.setattr(first_wins, "SMALL_WAVE", small)
     df = spark.createDataFrame(rows, "id long, vec array<float>")
-    units = cut(vs.unit_vectors(df), "units")
-    pivots = vs.choose_pivots(units, cells=cells)
-    members = cut(vs.cell_members(units, pivots, 0.85), "members")
-    kept = keep_first(members, vs.vector_matcher(units, 0.85), front_size=front)
-    matrix = np.array([r.vec for r in units.orderBy("id").collect()])
-    assert sorted(r.id for r in kept.kept.collect()) == greedy(matrix, 0.85)
-
-    found = {
-        r.id: (r.neighbour_id, r.cosine)
-        for r in vs.nearest_neighbour(units, units, pivots=pivots).collect()
-    }
+    placed, measured = in_cells(df, cells)
+    outcome = first_wins.keep_first(placed, vs.vector_matcher(measured, 0.85), first_wave=wave)
+    matrix = np.array([r.vec for r in placed.orderBy("id").collect()])
+    assert sorted(r.id for r in outcome.kept.collect()) == greedy(matrix, 0.85)
+    assert (outcome.pairs is None) == (wave < 160)
+
     similar = matrix @ matrix.T
     np.fill_diagonal(similar, -2)
-    for i in range(len(matrix)):
-        assert found[i][0] == int(similar[i].argmax())
-        assert found[i][1] == pytest.approx(similar[i].max(), abs=1e-12)
+    for k in (1, 4):
+        found = {(r.id, r["rank"]): (r.neighbour_id, r.cosine) for r in vs.nearest(placed, placed, measured, k=k).collect()}
+        assert len(found) == k * len(matrix)
+        for i in range(len(matrix)):
+            order = np.argsort(-similar[i], kind="stable")
+            for rank in range(1, k + 1):
+                assert found[i, rank][0] == order[rank - 1]
+                assert found[i, rank][1] == pytest.approx(similar[i, order[rank - 1]], abs=1e-12)
+
+
+def test_waves_hardly_grow_with_the_rows(spark):
+    """As many waves for four times the members of every group, also where one holds a third."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (40, 16))
+    waves = []
+    for n in (300, 1200):
+        points = [(i, (centres[0 if i % 3 == 0 else i % 40] + rng.normal(0, 0.05, 16)).tolist()) for i in range(n)]
+        placed, cells = in_cells(spark.createDataFrame(points, "id long, vec array<float>"))
+        outcome = first_wins.keep_first(placed, vs.vector_matcher(cells, 0.85), first_wave=100)
+        matrix = np.array([r.vec for r in placed.orderBy("id").collect()])
+        assert sorted(r.id for r in outcome.kept.collect()) == greedy(matrix, 0.85)
+        waves.append(outcome.waves)
+    assert waves[0] == waves[1] == 2
+
+
+def test_cells_that_lie_apart_never_meet(spark):
+    """With groups of copies the pairs of blocks compared grow with the rows, not their square."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(30, 60) * 5
+    meetings = []
+    for groups in (10, 30):
+        points = [(i, (centres[i % groups] + rng.normal(0, 0.05, 60)).tolist()) for i in range(groups * 10)]
+        placed, cells = in_cells(spark.createDataFrame(points, "id long, vec array<float>"), groups)
+        meetings.append(len(cells.meeting(math.acos(0.85))))
+    assert meetings[0] < 100 and meetings[1] < 4 * meetings[0]
+
+
+def test_equal_neighbours_by_the_lower_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [1.0, 1.0]) for i in range(30)] + [(99, [0.0, 0.0])]
+    placed, cells = in_cells(spark.createDataFrame(rows, "id long, vec array<float>"))
+    got = vs.nearest(placed, placed, cells, k=3).where("id = 5").orderBy("rank").collect()
+    assert [r.neighbour_id for r in got] == [1, 3, 7]
+    few, cells = in_cells(spark.createDataFrame(rows[:3], "id long, vec array<float>"))
+    assert vs.nearest(few, few, cells, k=9).count() == 6
+    none, cells = in_cells(spark.createDataFrame(rows[30:], "id long, vec array<float>"))
+    assert vs.nearest(none, none, cells, k=2).count() == 0
+    assert vs.vector_matcher(cells, 0.85)(none, none).count() == 0
 
 
 def test_zero_vectors_have_no_neighbours(spark):
@@ -159,15 +207,63 @@ def test_zero_vectors_have_no_neighbours(spark):
         [(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0])],
         "id long, vec array<float>",
     )
-    units = cut(vs.unit_vectors(df), "units")
-    members = cut(vs.cell_members(units, None, 0.85), "members")
-    verdicts = duplicates.near_duplicates(
-        members, df.select("id"), vs.vector_matcher(units, 0.85)
-    )
+    placed, cells = in_cells(df)
+    verdicts = duplicates.near_duplicates(placed, df.select("id"), vs.vector_matcher(cells, 0.85))
     got = {r.id: (r.kept, round(r.score, 9)) for r in verdicts.collect()}
     assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (True, 0.0), 3: (False, 1.0)}
 
 
+def vector_one_by_one(docs, threshold):
+    """docs(id, sha, vector or None) in arrival order -> id -> (type, score)."""
+    hashes, kept, out = set(), [], {}
+    for i, sha, v in docs:
+        if sha in hashes:
+            out[i] = ("exact", 1.0)
+            continue
+        u = None if v is None or not np.any(v) else np.asarray(v) / np.linalg.norm(v)
+        best = max((float(u @ w) for w in kept if w is not None), default=0.0) if u is not None else 0.0
+        if best >= threshold:
+            out[i] = ("semantic", best)
+        else:
+            hashes.add(sha)
+            kept.append(u)
+            out[i] = ("", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("wave", [16_384, 10])
+def test_vector_control_equals_one_by_one(spark, wave):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (12, 8))
+    docs = []
+    for i in range(120):
+        v = None if i % 17 == 0 else np.zeros(8) if i % 23 == 0 else centres[i * i % 12] + rng.normal(0, 0.3, 8)
+        sha, v = (docs[i // 2][1], docs[i // 2][2]) if i % 7 == 3 else (f"h{i}", v)
+        docs.append((i, sha, v))
+    df = spark.createDataFrame([(i, i, s) for i, s, _ in docs], "id long, arrival long, sha256 string")
+    rows = [(i, None if v is None else [float(x) for x in v]) for i, _, v in docs if i != 34]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    verdicts = duplicates.duplicate_control(df, vectors=vectors, threshold=0.85, first_wave=wave).verdicts
+    got = {r.id: (r.duplicate_control.duplicate_type, r.duplicate_control.similarity_score) for r in verdicts.collect()}
+    want = vector_one_by_one([(i, s, None if i == 34 else v) for i, s, v in docs], 0.85)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+
+def test_signatures_never_part_similar_texts(spark):
+    """The bits are a lower bound on the words that one text has and the other lacks."""
+    docs = corpus(random.Random(3), 40)
+    df = spark.createDataFrame([(i, t) for i, _, t in docs], "id long, text string")
+    both = df.select(F.col("id").alias("a"), ts.distinct_words(F.col("text")).alias("x")).crossJoin(
+        df.select(F.col("id").alias("b"), ts.distinct_words(F.col("text")).alias("y"))
+    )
+    lacking = ts._lacking(ts.signature(F.col("x")), ts.signature(F.col("y")))
+    least, most = both.select(
+        F.min(F.size(F.array_except("x", "y")) - lacking).alias("least"), F.max(lacking).alias("most")
+    ).first()
+    assert least >= 0 and most > 5
+
+
 def test_exact_duplicates_and_store(spark):
     df = spark.createDataFrame(
         [(1, 1, "a"), (2, 2, "b"), (3, 3, "a"), (4, 4, "c")], "id long, arrival long, sha256 string"
