@@ -24,6 +24,19 @@ def records(table: DataFrame, key: str = "job_id", text: str = "cleaned_text") -
     )
 
 
+def ids_as_text(table: DataFrame, *columns: str) -> DataFrame:
+    """Ids as text for a stretch of Python: as numbers next to nulls, pandas would round long ones.
+
+    ``ids_as`` gives them their type back.
+    """
+    return table.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def ids_as(table: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """Ids from ``ids_as_text`` in their own type again."""
+    return table.withColumns({c: F.col(c).cast(kind) for c in columns})
+
+
 def free_name(table: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``table`` has it."""
     taken = {c.lower() for c in table.columns}

@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from inkgate.llm.common import records, scratch_path, slices, starts_of
+from inkgate.llm.common import ids_as_text, records, scratch_path, slices, starts_of
 from inkgate.llm.files import read_bytes, write_bytes
 from inkgate.llm.tokens import encoder, vocabulary_size
 
@@ -195,7 +196,7 @@ def write_id_files(
     table = records(enriched_records, job_id, cleaned_text)
     spark = table.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = table.schema["job_id"].dataType.simpleString()
+    whole = isinstance(table.schema["job_id"].dataType, IntegralType)
     vocabulary = max(vocabulary_size(tokenizer), end_id + 1)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -223,8 +224,8 @@ def write_id_files(
     ordered = table.repartitionByRange(ranges, "job_id").sortWithinPartitions("job_id")
     held = scratch_path(spark, "ids")
     # zstd: ids of a large corpus are written once and read twice
-    schema = f"job_id {kind}, part int, start long, n long, ids binary"
-    ordered.mapInPandas(tokens, schema).write.option("compression", "zstd").parquet(held)
+    schema = "job_id string, part int, start long, n long, ids binary"
+    ids_as_text(ordered, "job_id").mapInPandas(tokens, schema).write.option("compression", "zstd").parquet(held)
     encoded = spark.read.schema(schema).parquet(held)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +255,7 @@ def write_id_files(
                 for some in slices(triples, lambda r: len(r[2]) // 2, BLOCK_IDS):
                     start = first[part] + int(some[0][1])
                     ids = [np.frombuffer(x, width).astype(np.int64) for _, _, x in some]
-                    keys = [None if k is None or k != k else k if isinstance(k, str) else int(k) for k, _, _ in some]
+                    keys = [None if k is None else int(k) if whole else k for k, _, _ in some]
                     yield pd.DataFrame({"part": [part], "start": [start], "content": [pack_block(start, keys, ids, codes, lengths)]})
 
     out = encoded.mapInPandas(blocks, "part int, start long, content binary")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgate.llm.common import records, slices
+from inkgate.llm.common import ids_as, ids_as_text, records, slices
 from inkgate.llm.tokens import encoder
 from inkgate.session import cut
 
@@ -130,8 +130,8 @@ def pack(
     """
     table = records(enriched_records, job_id, cleaned_text)
     kind = table.schema["job_id"].dataType.simpleString()
-    schema = f"job_id {kind}, start long, length long, ids binary, tokens long, turn long, task long"
-    pieces = cut(table.mapInPandas(_pieces(tokenizer, end_id, max_length), schema), "pieces")
+    schema = "job_id string, start long, length long, ids binary, tokens long, turn long, task long"
+    pieces = cut(ids_as_text(table, "job_id").mapInPandas(_pieces(tokenizer, end_id, max_length), schema), "pieces")
     parts = cut(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Places.of(pack_lengths(histogram, max_length))
@@ -157,6 +157,7 @@ def pack(
     ready = pieces.join(cut(first, "ranks"), "task").select(
         "job_id", "start", "length", "ids", "tokens", (F.col("turn") + F.element_at("first", F.col("length"))).alias("rank")
     )
-    return ready.mapInPandas(
-        place, f"job_id {kind}, start long, length long, ids binary, tokens long, sequence_id long, offset long"
+    placed = ready.mapInPandas(
+        place, "job_id string, start long, length long, ids binary, tokens long, sequence_id long, offset long"
     )
+    return ids_as(placed, kind, "job_id")

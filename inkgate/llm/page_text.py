@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgate.llm.common import slices, starts_of
+from inkgate.llm.common import ids_as, ids_as_text, slices, starts_of
 from inkgate.session import cut
 
 PLAIN, MAIN = 1, 2
@@ -234,7 +234,8 @@ def _in_order(pages: DataFrame, kind: str) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = pages.select("job_id", "host", "path").repartitionByRange(ranges, "host", "path", "job_id")
     ordered = ordered.sortWithinPartitions("host", "path", "job_id")
-    held = cut(ordered.mapInPandas(number, f"job_id {kind}, host string, path string, part int, place long"), "order")
+    told = ids_as_text(ordered, "job_id").mapInPandas(number, "job_id string, host string, path string, part int, place long")
+    held = cut(ids_as(told, kind, "job_id"), "order")
     sizes = held.groupBy("part").count().orderBy("part").collect()  # one row per range
     first = starts_of(np.array([r["count"] for r in sizes], np.int64)).tolist()
     base = spark.createDataFrame(
@@ -291,9 +292,10 @@ def main_text(
         F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"),
     )
     kind = table.schema["job_id"].dataType.simpleString()
-    outline = cut(
-        table.mapInPandas(_outline, f"job_id {kind}, host string, path string, has_main boolean, lines array<long>"), "outline"
+    outline = ids_as_text(table, "job_id").mapInPandas(
+        _outline, "job_id string, host string, path string, has_main boolean, lines array<long>"
     )
+    outline = cut(ids_as(outline, kind, "job_id"), "outline")
     pairs = _neighbours(cut(_in_order(outline, kind), "places"))
     lines = outline.select("job_id", "has_main", "lines")
     other = outline.select(F.col("job_id").alias("other_id"), F.col("lines").alias("other_lines"))
@@ -304,7 +306,8 @@ def main_text(
             yield pd.DataFrame({"job_id": frame["job_id"], "n_shared": [len(m) for m in marks], "shared": pd.Series(marks, dtype=object)})
 
     found = lines.join(pairs, "job_id").join(other, "other_id").select("job_id", "lines", "other_lines")
-    found = found.mapInPandas(shared, f"job_id {kind}, n_shared long, shared array<int>")
+    found = ids_as_text(found, "job_id").mapInPandas(shared, "job_id string, n_shared long, shared array<int>")
+    found = ids_as(found, kind, "job_id")
     found = cut(found.where("n_shared > 0").dropDuplicates(["job_id"]), "shared")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,6 +326,5 @@ def main_text(
                 yield pd.DataFrame(out, columns=["job_id", "filename", "text", "n_shared"])
 
     ready = table.join(found, "job_id", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
-    return ready.select("job_id", "filename", "content", "n_shared", "shared").mapInPandas(
-        write, f"job_id {kind}, filename string, text string, n_shared long"
-    )
+    ready = ids_as_text(ready.select("job_id", "filename", "content", "n_shared", "shared"), "job_id")
+    return ids_as(ready.mapInPandas(write, "job_id string, filename string, text string, n_shared long"), kind, "job_id")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgate.llm.common import cut_tight, records, slices, starts_of
+from inkgate.llm.common import cut_tight, ids_as, ids_as_text, records, slices, starts_of
 from inkgate.session import cut
 
 SEGMENT_WORDS = 400_000
@@ -73,9 +73,10 @@ def build_index(enriched_records: DataFrame, *, job_id: str = "job_id", cleaned_
                 }
             )
 
-    return table.mapInPandas(
-        run, f"segment long, term string, positions binary, job_ids array<{kind}>, n_words array<long>"
+    built = ids_as_text(table, "job_id").mapInPandas(
+        run, "segment long, term string, positions binary, job_ids array<string>, n_words array<long>"
     )
+    return ids_as(built, f"array<{kind}>", "job_ids")
 
 
 def _windows(items: list[tuple], width: int) -> dict:

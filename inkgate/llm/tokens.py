@@ -17,13 +17,14 @@ JOINED_WORDS = 200
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Letters up to another ASCII character, the rest of a word, or a run of white space; the blank
-# before a word belongs to it. Words then repeat whatever mark follows them.
+# before a word belongs to it. Words then repeat whatever mark follows them. U+0130 is no such
+# letter: its small form ends in a mark that may join the next one.
 _PIECE = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\t-\r -@\[-`{-~]|\Z)"
+    r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?=[\t-\r -@\[-`{-~]|\Z)"
     f"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 # A blank and letters: one pre-token each, also where many of them follow each other.
-_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+")
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,8 +44,8 @@ class Encoder:
     """ids of whole texts by the tokenizers library, without special tokens.
 
     Texts repeat their words, so each piece is encoded by the library once and remembered. That
-    is exact for pre-tokenizers that never join characters across the start of a piece; for any
-    other kind whole texts are encoded. Strings of special tokens are ordinary text.
+    is exact for pre-tokenizers and normalizers that never join characters across the start of a
+    piece; for any other kind whole texts are encoded. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bounds = self._bounds()
-        self.in_pieces = self._splits_at_space(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        described = json.loads(self.tokenizer.to_str())
+        self.in_pieces = self._splits_at_space(described["pre_tokenizer"]) and self._keeps_bounds(described["normalizer"])
 
     @staticmethod
     def _splits_at_space(kind: dict | None) -> bool:
@@ -68,6 +70,16 @@ class Encoder:
         )
         return whole or drops
 
+    @staticmethod
+    def _keeps_bounds(kind: dict | None) -> bool:
+        """Only normalizers that are known to change nothing across the start of a piece."""
+        kinds = kind.get("normalizers", [kind]) if kind else []
+        return all(
+            k["type"] in ("NFC", "Lowercase")
+            or (k["type"] == "Replace" and k["pattern"] == {"Regex": r"\s+"} and k["content"] == " ")
+            for k in kinds
+        )
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]

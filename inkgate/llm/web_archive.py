@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgate.llm.common import slices
+from inkgate.llm.common import ids_as_text, slices
 from inkgate.llm.files import read_bytes, write_bytes
 from inkgate.session import cut
 
@@ -93,19 +93,15 @@ def write_archives(
 
     def archive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            origins = frame["origin"].astype(object).where(frame["origin"].notna(), None)
-            triples = zip(frame["job_id"], frame["filename"], frame["content"], origins, strict=True)
+            triples = zip(frame["job_id"], frame["filename"], frame["content"], frame["origin"], strict=True)
             for some in slices(triples, lambda r: len(r[2]), 4_000_000):
                 out = []
                 for key, url, payload, origin in some:
-                    out.extend(_page_records(_plain(key), url, bytes(payload), _plain(origin), segment_bytes))
+                    out.extend(_page_records(key, url, bytes(payload), origin, segment_bytes))
                 yield pd.DataFrame({"content": out})
 
-    write_bytes(marked.mapInPandas(archive, "content binary"), path, b"\n", gzip=True)
-
-
-def _plain(key):
-    return key if key is None or isinstance(key, str) else int(key)
+    named = ids_as_text(marked, "job_id", "origin")
+    write_bytes(named.mapInPandas(archive, "content binary"), path, b"\n", gzip=True)
 
 
 def _page_records(key, url: str, payload: bytes, origin, segment_bytes: int) -> list[bytes]:
