@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgate import fixed_values as fv
+from inkgate.config import DuplicateRules, GateRules
 from inkgate.catalog import answer_queries as aq
 from inkgate.catalog import bindings as b
 from inkgate.catalog import duplicate_queries as dq
@@ -14,7 +15,7 @@ from inkgate.catalog import text_queries as tq
 from inkgate.operators import tracking
 from inkgate.plans import persist
 from inkgate.plans.enrich import EnrichRun, accepted_documents, enrich
-from inkgate.plans.ingest import ingest
+from inkgate.plans.ingest import IngestRun, ingest
 from inkgate.session import new_path
 from inkgate.sources import tables
 from inkgate.streaming import events
@@ -25,14 +26,11 @@ def extractors() -> list[tuple[str, Column]]:
     return [("text_layer", F.expr(b.TEXT_LAYER_SPARK)), ("ocr", F.col("text"))]
 
 
-def _run(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest(
-        b.all_files(spark, folder), extractors(), b.run_responses(spark, folder)
-    ).results
+def _run(spark: SparkSession, folder: str, **options) -> IngestRun:
+    return ingest(b.all_files(spark, folder), extractors(), b.run_responses(spark, folder), **options)
 
 
-def ingest_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    results = _run(spark, folder)
+def _outcomes(results: DataFrame) -> DataFrame:
     return results.select(
         "job_id",
         "filename",
@@ -48,6 +46,28 @@ def ingest_cascade(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ingest_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return _outcomes(_run(spark, folder).results)
+
+
+def embeddings_of(spark: SparkSession, folder: str):
+    """For ``ingest(embed=...)``: the embedding with a document's number is its vector."""
+    vectors = b.table(spark, folder, "embeddings").select(
+        F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vec")
+    )
+    return lambda texts: texts.select("id").join(vectors, "id")
+
+
+# No two of the given embeddings reach the shipped threshold.
+VECTOR_RULES = GateRules(duplicates=DuplicateRules(dq.VECTOR_THRESHOLD))
+
+
+def vector_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole gate with near duplicates by embeddings."""
+    run = _run(spark, folder, rules=VECTOR_RULES, embed=embeddings_of(spark, folder))
+    return _outcomes(run.results)
+
+
 _EXTRACTED_LAYER = f"({b.TEXT_LAYER})"
 _ASKED = "decision = 'slm_escalate' AND n_chars % 4 <> 3"
 INGEST_CTES = f"""{gq.FORMAT_CTES.replace("formatted AS (", "rule_formatted AS (")},
@@ -130,9 +150,18 @@ SELECT job_id, filename, status, rejection_reason, sha256, decision AS format_de
 FROM ingested
 """
 
+_VECTOR_PAIRS = f"""
+vectored AS MATERIALIZED (
+  SELECT r.id, CAST(e.embedding AS DOUBLE[]) AS v FROM reps r JOIN embeddings e ON e.vec_id = r.id),
+pairs AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS cosine
+  FROM vectored x JOIN vectored y ON x.id < y.id
+  WHERE list_cosine_similarity(x.v, y.v) >= {dq.VECTOR_THRESHOLD})"""
+VECTOR_INGEST = INGEST_CASCADE.replace(dq.word_pair_ctes("reps", fv.COSINE_THRESHOLD), _VECTOR_PAIRS)
+
 
 def steps_long(spark: SparkSession, folder: str) -> DataFrame:
-    steps = tracking.steps_long(_run(spark, folder))
+    steps = tracking.steps_long(_run(spark, folder).results)
     return steps.select("job_id", "step_order", "node", "status", "passed", "rejection_reason")
 
 
@@ -156,7 +185,7 @@ STEPS_LONG = f"WITH RECURSIVE {INGEST_CTES}\n{_step_rows_sql()}"
 
 
 def run_events(spark: SparkSession, folder: str) -> DataFrame:
-    return events.run_events(_run(spark, folder)).drop("timestamp")
+    return events.run_events(_run(spark, folder).results).drop("timestamp")
 
 
 RUN_EVENTS = f"""
@@ -169,7 +198,7 @@ UNION ALL SELECT job_id, CAST(11 AS BIGINT), '{fv.NODE_WHOLE_RUN}', 'done' FROM
 
 
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tracking.gate_audit(_run(spark, folder))
+    rows = tracking.gate_audit(_run(spark, folder).results)
     detail = F.col("detail")
     return rows.select(
         "job_id",
@@ -198,15 +227,14 @@ FROM steps s JOIN ingested i ON i.job_id = s.job_id
 """
 
 
-def _enriched(results: DataFrame, spark: SparkSession, folder: str) -> EnrichRun:
+def _enriched(run: IngestRun, spark: SparkSession, folder: str) -> EnrichRun:
     attempts = b.entity_attempts(spark, folder).select("job_id", "attempt", "response")
-    return enrich(accepted_documents(results), attempts)
+    return enrich(accepted_documents(run), attempts)
 
 
 def finalize_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    results = _run(spark, folder)
-    run = _enriched(results, spark, folder)
-    return persist.finalize_jobs(results, run.patches)
+    run = _run(spark, folder)
+    return persist.finalize_jobs(run, _enriched(run, spark, folder).patches)
 
 
 ENRICH_CTES = f"""{INGEST_CTES},
@@ -315,6 +343,7 @@ FROM ingested
 QUERIES = {
     "stream_ingest": stream_ingest,
     "ingest_cascade": ingest_cascade,
+    "vector_ingest": vector_ingest,
     "steps_long": steps_long,
     "run_events": run_events,
     "audit_rows": audit_rows,
@@ -325,6 +354,7 @@ QUERIES = {
 ORACLES = {
     "stream_ingest": STREAM_INGEST,
     "ingest_cascade": INGEST_CASCADE,
+    "vector_ingest": VECTOR_INGEST,
     "steps_long": STEPS_LONG,
     "run_events": RUN_EVENTS,
     "audit_rows": AUDIT_ROWS,

@@ -108,16 +108,13 @@ WITH grams AS (
   SELECT doc_id, lang, unnest(regexp_extract_all(substring(lower(text), start), '(?s)...')) AS gram
   FROM documents, (SELECT unnest([1, 2, 3]) AS start) s),
 counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY 1, 2),
-top AS (
-  SELECT * FROM counts QUALIFY
-    row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {language.PROFILE_SIZE}),
-totals AS (SELECT lang, sum(n) AS total FROM top GROUP BY 1),
-vocabulary AS (SELECT DISTINCT gram FROM top),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
+vocabulary AS (SELECT DISTINCT gram FROM counts),
 profile AS (
   SELECT v.gram, t.lang,
     CAST(round(ln((coalesce(c.n, 0) + 1) / (t.total + (SELECT count(*) FROM vocabulary)))
          * {language.WEIGHT_SCALE}) AS BIGINT) AS w
-  FROM vocabulary v CROSS JOIN totals t LEFT JOIN top c ON c.gram = v.gram AND c.lang = t.lang),
+  FROM vocabulary v CROSS JOIN totals t LEFT JOIN counts c ON c.gram = v.gram AND c.lang = t.lang),
 doc_grams AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY 1, 2),
 scores AS (
   SELECT doc_id, p.lang, sum(n * w) AS s FROM doc_grams JOIN profile p USING (gram) GROUP BY 1, 2),

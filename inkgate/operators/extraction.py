@@ -6,13 +6,16 @@ the one before, even by a shorter text; one that fails changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgate.config import ExtractionRules
 from inkgate.functions import text as tx
+from inkgate.operators.hooks import run_extractor, still_thin
+from inkgate.session import cut
 
 
 def _result(text: Column, extractor: Column, rules: ExtractionRules) -> Column:
@@ -51,6 +54,50 @@ def from_attempts(
     )
 
 
+Loader = Callable[[], Callable[[bytes, str], str]]
+
+
+def is_column(extractor: Column | Loader) -> bool:
+    return isinstance(extractor, Column)
+
+
+def extract_in_passes(
+    files: DataFrame,
+    extractors: Sequence[tuple[str, Column | Loader]],
+    rules: ExtractionRules | None = None,
+) -> DataFrame:
+    """(job_id, extraction) of files(job_id, filename, content, ...), extractors tried by rank.
+
+    A run of text columns is one pass over the rows, without Python. Every other extractor is a
+    loader (see ``hooks.run_extractor``) and gets a pass of its own, over the files that no pass
+    before gave enough text: a costly one never sees the rest. Each pass writes its attempts, so
+    none runs twice.
+    """
+    rules = rules or ExtractionRules()
+    attempts, done = None, 0
+    while done < len(extractors):
+        columns = list(takewhile(lambda e: is_column(e[1]), extractors[done:]))
+        thin = files if attempts is None else still_thin(files, attempts, rules.min_text_for_ocr)
+        if columns:
+            rows = [
+                F.struct(F.lit(done + i).alias("rank"), F.lit(name).alias("extractor"), text.alias("text"))
+                for i, (name, text) in enumerate(columns)
+            ]
+            found = thin.select("job_id", F.explode(F.array(*rows)).alias("a")).select(
+                "job_id",
+                "a.*",
+                F.when(F.col("a.text").isNull(), "no text").alias("error"),
+            )
+            done += len(columns)
+        else:
+            name, load = extractors[done]
+            found = run_extractor(thin, done, name, load)
+            done += 1
+        found = cut(found, "attempts")
+        attempts = found if attempts is None else attempts.unionByName(found)
+    return from_attempts(attempts, rules)
+
+
 def extract_in_row(
     df: DataFrame,
     extractors: Sequence[tuple[str, Column]],

@@ -6,6 +6,8 @@ in the scan stage without a shuffle. Model answers come in as columns (see ``res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,27 @@ def _listed(table: dict[str, tuple[str, ...]], key: Column) -> Column:
 
 
 def receive(
-    df: DataFrame, rules: FormatRules | None = None, *, content: str = "content"
+    df: DataFrame,
+    rules: FormatRules | None = None,
+    *,
+    content: str = "content",
+    length: str = "length",
+    mime: Callable[[Column], Column] = detect_mime,
 ) -> DataFrame:
-    """Add ``reception``: presence and size checks, then hash and type of what passed."""
+    """Add ``reception``: presence and size checks, then hash and type of what passed.
+
+    Where there is a ``length`` column, as ``read_files`` gives it, size is judged by it and a body
+    above the limit need not be there at all. ``mime`` tells the type of a body: an expression, or
+    a pandas UDF applied to the column.
+    """
     rules = rules or FormatRules()
     body = F.col(content)
     size = F.octet_length(body).cast("bigint")
+    if length in df.columns:
+        size = F.coalesce(F.col(length).cast("bigint"), size)
     limit = rules.max_file_size_bytes
     reason = (
-        F.when(body.isNull(), fv.MSG_NO_FILE)
+        F.when(body.isNull() & F.coalesce(size <= limit, F.lit(True)), fv.MSG_NO_FILE)
         .when(size == 0, fv.MSG_EMPTY_FILE)
         .when(size > limit, fv.MSG_TOO_LARGE.format(limit_mb=limit // (1024 * 1024)))
         .otherwise("")
@@ -47,7 +61,7 @@ def receive(
         F.struct(
             passed.alias("passed"),
             F.when(passed, F.sha2(body, 256)).otherwise("").alias("sha256"),
-            F.when(passed, detect_mime(body)).otherwise("").alias("detected_mime"),
+            F.when(passed, mime(body)).otherwise("").alias("detected_mime"),
             F.coalesce(size, F.lit(0).cast("bigint")).alias("file_size_bytes"),
             F.col("_reason").alias("rejection_reason"),
         ),

@@ -12,6 +12,7 @@ from inkgate.config import EnrichmentRules
 from inkgate.operators import answers
 from inkgate.operators.cleaning import clean_text
 from inkgate.operators.entities import with_metadata
+from inkgate.plans.ingest import IngestRun
 
 
 @dataclass(frozen=True)
@@ -24,9 +25,9 @@ class EnrichRun:
     patches: DataFrame
 
 
-def accepted_documents(results: DataFrame) -> DataFrame:
+def accepted_documents(run: IngestRun) -> DataFrame:
     """What enrichment needs of the accepted rows of an ingest run."""
-    return results.where(F.col("status") == "accepted").select(
+    return run.with_texts(run.results.where(F.col("status") == "accepted")).select(
         "job_id",
         "filename",
         F.col("extraction.text").alias("text"),

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgate.operators import tracking
+from inkgate.plans.ingest import IngestRun
 
 
-def finalize_jobs(
-    results: DataFrame, enrichment_patches: DataFrame | None = None
-) -> DataFrame:
-    """Final job state: the run's own patch, then a failed enrichment's."""
-    patches = tracking.final_patch(results).withColumn("seq", F.lit(1).cast("bigint"))
+def finalize_jobs(run: IngestRun, enrichment_patches: DataFrame | None = None) -> DataFrame:
+    """Final job state: the run's own patch, then a failed enrichment's.
+
+    Texts are joined to the jobs that keep one, those not accepted.
+    """
+    accepted = F.col("status") == "accepted"
+    nothing = F.col("extraction").withField("text", F.lit(None).cast("string"))
+    patches = tracking.final_patch(run.with_texts(run.results.where(~accepted))).unionByName(
+        tracking.final_patch(run.results.where(accepted).withColumn("extraction", nothing))
+    )
+    patches = patches.withColumn("seq", F.lit(1).cast("bigint"))
     if enrichment_patches is not None:
         patches = patches.unionByName(
             enrichment_patches.withColumn("seq", F.lit(2).cast("bigint"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgate import fixed_values as fv
+from inkgate.operators.first_wins import number_in_order
+from inkgate.session import cut
 
 BINARY_SCHEMA = T.StructType(
     [
@@ -18,31 +20,52 @@ BINARY_SCHEMA = T.StructType(
 )
 
 
-def as_uploads(binary_files: DataFrame) -> DataFrame:
-    """(job_id, arrival, filename, content) from binary-file rows.
+def as_uploads(binary_files: DataFrame, *, arrival: Column | None = None) -> DataFrame:
+    """(job_id, arrival, filename, content, length) from binary-file rows.
 
     Job ids are derived from path and time, so a re-run names the same file alike. Files
-    arrive in the order of their modification time; the path breaks ties downstream.
+    arrive in the order of their modification time, or of the numbers in ``arrival``; the job id
+    breaks ties downstream.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    arrival = F.unix_micros("modificationTime")
+    time = F.unix_micros("modificationTime")
     return binary_files.select(
-        F.sha2(F.concat_ws(":", "path", arrival.cast("string")), 256).alias("job_id"),
-        arrival.alias("arrival"),
+        F.sha2(F.concat_ws(":", "path", time.cast("string")), 256).alias("job_id"),
+        (time if arrival is None else arrival).alias("arrival"),
         F.coalesce(F.nullif(name, F.lit("")), F.lit(fv.UNNAMED_FILE)).alias("filename"),
         "content",
+        "length",
     )
 
 
+def _within(found: DataFrame, limit: int | None) -> DataFrame:
+    """Bodies up to ``limit`` bytes; a larger file is a row without one, known by its listing.
+
+    The size condition and the choice of columns reach the file source: bodies above the limit
+    are not opened.
+    """
+    if limit is None:
+        return found
+    small = found.where(F.col("length") <= limit)
+    large = found.where(F.col("length") > limit)
+    return small.unionByName(large.drop("content").withColumn("content", F.lit(None).cast("binary")))
+
+
 def read_files(
     spark: SparkSession,
     folder: str,
     *,
     pattern: str | None = None,
     listing: DataFrame | None = None,
+    limit: int | None = None,
+    by_path: bool = False,
 ) -> DataFrame:
     """Every file of a folder as one upload.
 
+    ``limit`` is the largest size that reception lets pass (``FormatRules.max_file_size_bytes``):
+    larger files are listed, not read. With ``by_path`` files arrive in the order of their paths
+    instead of their times; their number then is their place in that order, gaps included.
+
     Spark's file sources leave out files of length zero. Where those matter (they are to be
     rejected as empty), pass a ``listing(path, modificationTime, length)`` of the folder, such
     as a storage inventory; its empty files are added.
@@ -50,19 +73,23 @@ def read_files(
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    found = reader.load(folder)
+    found = _within(reader.load(folder), limit)
     if listing is not None:
         empty = listing.where(F.col("length") == 0).select(
             "path", "modificationTime", "length", F.lit(b"").alias("content")
         )
         found = found.unionByName(empty)
-    return as_uploads(found)
+    if not by_path:
+        return as_uploads(found)
+    # paths are put in order without their bodies
+    places = cut(number_in_order(found.select(F.col("path").alias("named")), "named"), "paths")
+    return as_uploads(found.join(places, F.col("path") == F.col("named")), arrival=F.col("number"))
 
 
 def stream_files(
     spark: SparkSession, folder: str, *, pattern: str | None = None, per_batch: int = 10_000
 ) -> DataFrame:
-    """Uploads as files land in a folder."""
+    """Uploads as files land in a folder. Bodies are read with their listing here."""
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_SCHEMA)

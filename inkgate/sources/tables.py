@@ -16,8 +16,9 @@ def append(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("append").parquet(table_path(root, name))
 
 
-def append_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """Write a micro-batch as its own partition; replaying the batch replaces it.
+def append_batch(df: DataFrame, root: str, name: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    """Write a micro-batch as its own partition, parted further ``by`` columns; replaying the batch
+    replaces it.
 
     The old partition goes first: a replay without rows must leave none behind.
     """
@@ -28,7 +29,7 @@ def append_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
         df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("batch_id", *by)
         .parquet(table_path(root, name))
     )
 

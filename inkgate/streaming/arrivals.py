@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkgate.config import GateRules
 from inkgate.operators import token_similarity as ts
-from inkgate.operators.duplicates import Control, Store, duplicate_control
-from inkgate.plans.ingest import ingest
+from inkgate.operators.duplicates import Control, Store, VectorStore, duplicate_control
+from inkgate.operators.extraction import Loader, is_column
+from inkgate.plans.ingest import Lookup, ingest
 from inkgate.plans.persist import finalize_jobs, tracking_tables
 from inkgate.session import cut, scratch
 from inkgate.sources import tables
@@ -34,6 +36,20 @@ MEMBER_SCHEMA = T.StructType(
         T.StructField("bucket", T.LongType()),
     ]
 )
+VECTOR_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("cell", T.IntegerType()),
+        T.StructField("angle", T.DoubleType()),
+        T.StructField("vec", T.ArrayType(T.DoubleType())),
+    ]
+)
+PIVOT_SCHEMA = T.StructType(
+    [T.StructField("cell", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))]
+)
+RADIUS_SCHEMA = T.StructType(
+    [T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
+)
 SLOT_SCHEMA = T.StructType(
     [T.StructField("slot", T.IntegerType()), T.StructField("count", T.LongType())]
 )
@@ -60,9 +76,43 @@ def open_store(spark: SparkSession, root: str, batch_id: int, texts: DataFrame)
     )
 
 
+def open_vector_store(spark: SparkSession, root: str, batch_id: int) -> VectorStore:
+    """The store as earlier batches left it; its vectors are parted by cell.
+
+    The pivots are those of the first batch that had vectors. They and the radii, a number for each
+    cell and batch, are what the driver reads.
+    """
+    rows = tables.read_table(spark, root, "pivots", PIVOT_SCHEMA).orderBy("cell").collect()
+    radii = tables.read_before(spark, root, "radii", RADIUS_SCHEMA, batch_id).groupBy("cell").agg(F.max("radius").alias("r"))
+    pivots = widths = None
+    if rows:
+        pivots = np.array([r["vec"] for r in rows], dtype=np.float64)
+        widths = np.full(len(pivots), -np.inf)
+        for r in radii.collect():
+            widths[r["cell"]] = r["r"]
+    return VectorStore(
+        tables.read_before(spark, root, "accepted", DOCUMENT_SCHEMA, batch_id).drop("words"),
+        tables.read_before(spark, root, "accepted_vectors", VECTOR_SCHEMA, batch_id),
+        pivots,
+        widths,
+    )
+
+
 def extend_store(control: Control, root: str, batch_id: int) -> None:
-    tables.append_batch(control.documents, root, "accepted", batch_id)
-    tables.append_batch(control.members, root, "accepted_members", batch_id)
+    if control.cells is None:
+        tables.append_batch(control.documents, root, "accepted", batch_id)
+        tables.append_batch(control.members, root, "accepted_members", batch_id)
+        return
+    spark = control.documents.sparkSession
+    nothing = F.lit(None).cast("array<bigint>")
+    tables.append_batch(control.documents.withColumn("words", nothing), root, "accepted", batch_id)
+    stored = cut(control.members, "stored")
+    tables.append_batch(stored, root, "accepted_vectors", batch_id, by=("cell",))
+    radii = stored.groupBy("cell").agg(F.max("angle").alias("radius"))
+    tables.append_batch(radii, root, "radii", batch_id)
+    if not stored.isEmpty() and tables.read_table(spark, root, "pivots", PIVOT_SCHEMA).isEmpty():
+        named = [(i, p.tolist()) for i, p in enumerate(control.cells.pivots)]
+        spark.createDataFrame(named, PIVOT_SCHEMA).write.mode("overwrite").parquet(tables.table_path(root, "pivots"))
 
 
 def control_batch(docs: DataFrame, batch_id: int, root: str, rules: GateRules) -> None:
@@ -106,24 +156,28 @@ def ingest_batch(
     uploads: DataFrame,
     batch_id: int,
     root: str,
-    extractors: Sequence[tuple[str, Column]],
+    extractors: Sequence[tuple[str, Column | Loader]],
     responses: DataFrame,
     rules: GateRules,
+    **hooks: Lookup | None,
 ) -> None:
     """Judge one micro-batch of uploads and write its tables under ``root``.
 
-    uploads(job_id, arrival, filename, content, language, ...) are compared with each other
-    and with everything earlier batches accepted. Every table keeps the batch as a partition
-    that a replay overwrites.
+    uploads(job_id, arrival, filename, content, ...) are compared with each other
+    and with everything earlier batches accepted, by vectors where the hooks of ``ingest`` name an
+    ``embed``. Every table keeps the batch as a partition that a replay overwrites.
     """
-    # any text will do to fix the word order: the cheapest extractor's
-    texts = uploads.select(extractors[0][1].alias("text"))
-    store = open_store(uploads.sparkSession, root, batch_id, texts)
-    run = ingest(uploads, extractors, responses, rules, store=store)
-    results = cut(run.results, "results")
+    spark = uploads.sparkSession
+    if hooks.get("embed") is not None:
+        store = open_vector_store(spark, root, batch_id)
+    else:
+        # any text will do to fix the word order: the first extractor's that is a column
+        texts = [text for _, text in extractors if is_column(text)] or [F.col("content").cast("string")]
+        store = open_store(spark, root, batch_id, uploads.select(texts[0].alias("text")))
+    run = ingest(uploads, extractors, responses, rules, store=store, **hooks)
     extend_store(run.control, root, batch_id)
-    tables.append_batch(finalize_jobs(results), root, "jobs", batch_id)
-    for name, table in tracking_tables(results).items():
+    tables.append_batch(finalize_jobs(run), root, "jobs", batch_id)
+    for name, table in tracking_tables(run.results).items():
         tables.append_batch(table, root, name, batch_id)
 
 
@@ -131,16 +185,20 @@ def ingest_stream(
     uploads: DataFrame,
     root: str,
     checkpoint: str,
-    extractors: Sequence[tuple[str, Column]],
+    extractors: Sequence[tuple[str, Column | Loader]],
     responses: DataFrame,
     rules: GateRules | None = None,
+    **hooks: Lookup | None,
 ) -> StreamingQuery:
-    """The whole gate over uploads as they arrive, until the source is drained."""
+    """The whole gate over uploads as they arrive, until the source is drained.
+
+    ``hooks`` are those of ``ingest``: mime, language, embed.
+    """
     rules = rules or GateRules()
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
-            ingest_batch(batch, batch_id, root, extractors, responses, rules)
+            ingest_batch(batch, batch_id, root, extractors, responses, rules, **hooks)
 
     return watch(uploads, judge, checkpoint)
 

@@ -180,7 +180,7 @@ def test_whole_run(spark):
     assert audit.where("detail like '%suficientemente%'").count() == 0
     assert persist.tracking_tables(run.results)["hash_records"].count() == 3
 
-    accepted = accepted_documents(run.results)
+    accepted = accepted_documents(run)
     attempts = spark.createDataFrame(
         [("good", 0, '{"year": 2001}'), ("near", 0, "bad"), ("near", 1, "bad"), ("near", 2, "bad")]
         + [("slip", 1, "{}"), ("slip", 0, "bad")],
@@ -190,7 +190,7 @@ def test_whole_run(spark):
     records = {r.job_id: r for r in enriched.records.collect()}
     assert set(records) == {"good", "slip"} and records["good"].entities.year == 2001
     assert records["good"].metadata.source == "manual_upload"
-    jobs = {r.job_id: r for r in persist.finalize_jobs(run.results, enriched.patches).collect()}
+    jobs = {r.job_id: r for r in persist.finalize_jobs(run, enriched.patches).collect()}
     assert jobs["near"].status == "review" and jobs["near"].failed_at_node == "enrichment"
     assert jobs["near"].review_action_needed == "enrichment_failed"
     assert jobs["near"].extracted_text is None
