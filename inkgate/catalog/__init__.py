@@ -9,6 +9,7 @@ from inkgate.catalog import (
     duplicate_queries,
     event_queries,
     gate_queries,
+    lookup_queries,
     run_queries,
     text_queries,
     tracking_queries,
@@ -16,6 +17,7 @@ from inkgate.catalog import (
 
 _GROUPS = (
     gate_queries,
+    lookup_queries,
     text_queries,
     answer_queries,
     duplicate_queries,
