@@ -1,22 +1,25 @@
 """Language of a text from character trigrams.
 
 Profiles are learned from labelled texts: every trigram of each language with a whole-number log
-weight, one row per trigram and language. Scoring counts a text's trigrams, joins them with the
-profiles and adds up. Neither the trigrams nor the languages are limited; the join is left to
-AQE's size checks.
+weight, one row per trigram and language. Scoring counts a text's trigrams inside its task, joins
+the counts with the profiles and adds up. Neither the trigrams nor the languages are limited; the
+join is left to AQE's size checks.
+
+A trigram is one number: three code points of 21 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgate.session import cut
 
-# Grams of a language in the checking SQL, which keeps the most frequent only; nothing here does.
-PROFILE_SIZE = 1000
 WEIGHT_SCALE = 1_000_000
 UNKNOWN = "unknown"
 
@@ -33,14 +36,42 @@ class Profiles:
     table: DataFrame
 
 
-def _grams(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)(?=(...))"), F.lit(1))
-    return df.select(*keep, F.explode(found).alias("gram"))
+def _row_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, count) of the trigrams of some texts, each text's for itself."""
+    rows, grams, counts = [], [], []
+    for row, text in enumerate(texts):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if len(points) < 3:
+            continue
+        found, n = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+        rows.append(np.full(len(found), row))
+        grams.append(found)
+        counts.append(n)
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(rows), np.concatenate(grams), np.concatenate(counts)
+
+
+def _grams(df: DataFrame, text: str, keep: str) -> DataFrame:
+    """(keep, gram, n): how often each row's text has each of its trigrams. No row moves."""
+    kind = df.schema[keep].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                row, gram, n = _row_counts(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(gram), pa.array(n.astype(np.int64))], names=[keep, "gram", "n"]
+                )
+
+    lower = df.select(F.col(keep), F.lower(F.col(text)).alias("_text"))
+    return lower.mapInArrow(count, f"`{keep}` {kind}, gram long, n long")
 
 
 def learn_profiles(labelled: DataFrame, *, text: str = "text", label: str = "lang") -> Profiles:
     named = labelled.select(F.col(label).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL")
-    counts = cut(_grams(named, "text", "lang").groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
+    counts = cut(_grams(named, "text", "lang").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     vocabulary = counts.select("gram").distinct()
     n_grams = vocabulary.count()
 
@@ -66,7 +97,7 @@ def detect_language(
 
     Texts without any known trigram are ``unknown``.
     """
-    counted = _grams(df, text, key).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    counted = _grams(df, text, key)
     sums = (
         counted.join(profiles.table, "gram")
         .groupBy(key, "lang")
