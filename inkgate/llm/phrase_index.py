@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,8 @@ def build_index(enriched_records: DataFrame, *, job_id: str = "job_id", cleaned_
             ends = np.cumsum(np.bincount(codes, minlength=len(terms)))[: len(terms)]
             gaps = np.diff(order, prepend=0)
             gaps[ends[:-1]] = order[ends[:-1]]
-            lists = [p.tobytes() for p in np.split(gaps.astype("<u4"), ends[:-1])] if len(terms) else []
+            packed, bounds = gaps.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            lists = [packed[a:b] for a, b in pairwise(bounds)]
             segment = (task << 32) + number
             number += 1
             yield pd.DataFrame(
