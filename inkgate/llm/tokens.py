@@ -11,7 +11,7 @@ from itertools import pairwise
 import numpy as np
 
 # Pieces remembered by a Python worker: those met last, in two halves.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 800_000
 # New words that are encoded as one text.
 JOINED_WORDS = 200
 
