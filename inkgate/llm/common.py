@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -10,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgate.session import shared_folder
+from inkgate.session import new_path
 
 # ASCII white space: \x20 and \x09 to \x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -46,9 +45,8 @@ def free_name(table: DataFrame, name: str) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = f"{shared_folder(spark)}/inkgate/{spark.sparkContext.applicationId}"
-    return f"{folder}/{label}-{os.urandom(8).hex()}"
+    """A new path in the folder that driver and executors share; ``session.scratch`` removes it."""
+    return new_path(spark, label)
 
 
 @contextmanager

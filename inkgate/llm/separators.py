@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkgate.llm.common import records, slices
 from inkgate.llm.files import read_bytes, write_bytes
-from inkgate.llm.tokens import encoder
+from inkgate.llm.tokens import encoder, vocabulary_size
 from inkgate.session import cut
 
 BLOCK_IDS = 1 << 20
@@ -35,12 +35,16 @@ def write_token_files(
     """Ids of every record and the separator after each, in the order of the rows' partitions.
 
     One file per partition, in the order of the partitions' numbers; nothing shuffles. ``width``
-    is the type of an id; the separator's last byte must be ASCII.
+    is the type of an id and must hold all of the tokenizer's; the separator's last byte must be
+    ASCII. Null and empty texts are a separator alone, repeated rows are records of their own; no
+    rows give no ids. Other columns are ignored.
     """
     table = records(enriched_records, job_id, cleaned_text).select("cleaned_text")
     last = np.array([separator], width).tobytes()[-1:]
     if last > b"\x7f" or np.array([separator], width)[0] != separator:
         raise ValueError(f"separator {separator} cannot be written as {width}")
+    if vocabulary_size(tokenizer) > 1 << 8 * np.dtype(width).itemsize:
+        raise ValueError(f"ids of {tokenizer} cannot be written as {width}")
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = encoder(tokenizer)

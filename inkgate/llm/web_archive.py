@@ -219,7 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Segments are grouped by the identifier of their origin, ordered by number and joined; a
     missing segment or another total length than stated fails. Whole records pass straight
     through. Revisits have no content, but size and digest of what they refer to. Archives are
-    read file by file; a file must fit in a task's memory.
+    read file by file; a file must fit in a task's memory. Records without an id have a null one;
+    no archives, no rows.
     """
     # scanned once for whole records and once for segments: dearer to keep than to read again
     records = read_bytes(spark, path).select("content").mapInPandas(_scan, _COLUMNS)

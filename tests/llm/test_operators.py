@@ -419,3 +419,25 @@ def test_no_rows_in_no_rows_out(spark):
     ):
         assert frame.count() == 0
     assert phrase_index.contamination(records(spark, ["a"]), items).select(F.sum("n_hit")).first()[0] == 0
+
+
+def test_ids_wider_than_the_files_are_refused(spark):
+    with pytest.raises(ValueError, match="cannot be written"):
+        separators.write_token_files(records(spark, ["a"]), BYTE_BPE, scratch_path(spark, "test-narrow"), separator=10, width="u1")
+
+
+def test_scratch_removes_paths_too(spark):
+    from inkgate.session import scratch
+
+    with scratch(spark):
+        path = scratch_path(spark, "test-gone")
+        spark.range(2).write.parquet(path)
+        assert spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_token_files_without_records(spark):
+    path = scratch_path(spark, "test-none")
+    separators.write_token_files(records(spark, ["a"]).limit(0), BYTE_BPE, path)
+    assert separators.token_counts(spark, path).count() == 0
