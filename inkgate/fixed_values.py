@@ -151,7 +151,43 @@ SIGNATURES = (
     ("application/x-tar", 257, "7573746172"),
     ("application/msword", 0, "D0CF11E0A1B11AE1"),
     ("application/wasm", 0, "0061736D"),
+    ("image/vnd.dwg", 0, "41433130"),
+    ("image/x-xcf", 0, "67696D7020786366"),
+    ("image/jpx", 0, "0000000C6A502020"),
+    ("image/vnd.ms-photo", 0, "4949BC"),
+    ("video/x-ms-wmv", 0, "3026B2758E66CF11A6D9"),
+    ("audio/aac", 0, "FFF1"),
+    ("audio/aac", 0, "FFF9"),
+    ("audio/mpeg", 0, "FFF2"),
+    ("audio/mpeg", 0, "FFF3"),
+    ("audio/mpeg", 0, "FFFB"),
+    ("audio/x-aiff", 0, "464F524D00"),
+    ("application/x-rpm", 0, "EDABEEDB"),
+    ("application/dicom", 128, "4449434D"),
+    ("application/x-shockwave-flash", 0, "435753"),
+    ("application/x-shockwave-flash", 0, "465753"),
+    ("application/x-nintendo-nes-rom", 0, "4E45531A"),
+    ("application/x-google-chrome-extension", 0, "43723234"),
+    ("application/vnd.ms-cab-compressed", 0, "4D534346"),
+    ("application/vnd.ms-cab-compressed", 0, "49536328"),
+    ("application/x-deb", 0, "213C617263683E0A64656269616E2D62696E617279"),
+    ("application/x-unix-archive", 1, "3C617263683E"),
+    ("application/x-compress", 0, "1FA0"),
+    ("application/x-compress", 0, "1F9D"),
+    ("application/x-lzop", 0, "894C5A4F000D0A1A0A"),
+    ("application/x-lzip", 0, "4C5A4950"),
+    ("application/x-lz4", 0, "04224D18"),
+    ("application/zstd", 0, "28B52FFD"),
+    ("application/font-sfnt", 0, "0001000000"),
+    ("application/font-sfnt", 0, "4F54544F00"),
 )
+# EBML files whose document type says so, within their first bytes.
+EBML_MIME = "video/x-matroska"
+EBML_KINDS = (("video/webm", "4282847765626D"),)
+EBML_HEAD_BYTES = 4096
+# A TIFF file with these bytes at 8 is a camera's raw image.
+TIFF_MIME = "image/tiff"
+TIFF_KINDS = (("image/x-canon-cr2", "4352"),)
 # Containers name their kind behind a size field: RIFF at byte 8, ISO media after "ftyp" at 4.
 RIFF_KINDS = (
     ("image/webp", "57454250"),
@@ -167,9 +203,18 @@ FTYP_KINDS = (
     ("video/quicktime", "71742020"),
     ("video/x-m4v", "4D345620"),
     ("audio/mp4", "4D344120"),
+    ("video/3gpp", "33677034"),
+    ("video/3gpp", "33677035"),
+    ("video/3gpp", "33677036"),
 )
 FTYP_MIME = "video/mp4"
-EPUB_MIME = "application/epub+zip"
+# ZIP containers whose first member, stored as it is, names the kind.
+ZIP_STORED_KINDS = (
+    "application/epub+zip",
+    "application/vnd.oasis.opendocument.text",
+    "application/vnd.oasis.opendocument.spreadsheet",
+    "application/vnd.oasis.opendocument.presentation",
+)
 ZIP_MIME = "application/zip"
 ZIP_SIGNATURES = ("504B0304", "504B0506", "504B0708")
 # ZIP containers are told apart by the folder their members lie in.

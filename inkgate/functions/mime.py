@@ -57,10 +57,14 @@ def detect_mime(content: Column) -> Column:
         ),
     )
     mime = F.coalesce(*lookups, riff, ftyp, *elsewhere, F.lit(fv.UNKNOWN_MIME))
-    # an EPUB's first member, stored as it is, says so
-    first = F.substring(content, 31, 8 + len(fv.EPUB_MIME))
-    epub = first == F.encode(F.lit(f"mimetype{fv.EPUB_MIME}"), "UTF-8")
-    members = F.when(mime != fv.ZIP_MIME, mime).when(epub, fv.EPUB_MIME)
+    ebml = F.substring(content, 1, fv.EBML_HEAD_BYTES)
+    members = F.when((mime == fv.EBML_MIME) & F.contains(ebml, F.unhex(F.lit(fv.EBML_KINDS[0][1]))), fv.EBML_KINDS[0][0])
+    raw, mark = fv.TIFF_KINDS[0]
+    members = members.when((mime == fv.TIFF_MIME) & (F.substring(content, 9, 2) == F.unhex(F.lit(mark))), raw)
+    members = members.when(mime != fv.ZIP_MIME, mime)
+    for kind in fv.ZIP_STORED_KINDS:
+        told = f"mimetype{kind}"
+        members = members.when(F.substring(content, 31, len(told)) == F.encode(F.lit(told), "UTF-8"), kind)
     for kind, folder in fv.ZIP_MEMBER_FOLDERS:
         members = members.when(F.contains(content, F.encode(F.lit(folder), "UTF-8")), kind)
     return members.otherwise(fv.ZIP_MIME)

@@ -200,6 +200,18 @@ def test_containers_are_told_apart(spark):
         b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1\0": "application/msword",
         b"\0asm\1\0\0\0": "application/wasm",
         b"PK\3\4" + bytes(26) + b"mimetypeapplication/epub+zip": "application/epub+zip",
+        b"PK\3\4" + bytes(26) + b"mimetypeapplication/vnd.oasis.opendocument.textPK": "application/vnd.oasis.opendocument.text",
+        b"\x1a\x45\xdf\xa3" + bytes(20) + b"\x42\x82\x84webm": "video/webm",
+        b"\x1a\x45\xdf\xa3" + bytes(20) + b"\x42\x82\x88matroska": "video/x-matroska",
+        b"\xff\xfb\x90": "audio/mpeg",
+        b"\xff\xf1\x50": "audio/aac",
+        b"!<arch>\ndebian-binary": "application/x-deb",
+        b"!<arch>\nother": "application/x-unix-archive",
+        b"II*\0\x10\0\0\0CR": "image/x-canon-cr2",
+        b"II*\0\x08\0\0\0": "image/tiff",
+        bytes(128) + b"DICM": "application/dicom",
+        b"\x28\xb5\x2f\xfd": "application/zstd",
+        b"FORM\0\0\0\4AIFF": "audio/x-aiff",
     }
     rows = [(bytearray(lead), mime) for lead, mime in kinds.items()]
     table = spark.createDataFrame(rows, "content binary, want string")
