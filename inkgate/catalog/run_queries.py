@@ -329,6 +329,29 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.select("job_id", "status", *tracking.PATCH_FIELDS)
 
 
+def stream_review_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """From arrival to the review queue in one stream: three parts that arrive in turn are
+    registered, judged, enriched and tracked; the queue is read from the tables it wrote."""
+    root = new_path(spark, "review")
+    responses = b.run_responses(spark, folder)
+    attempts = b.entity_attempts(spark, folder).select("job_id", "attempt", "response")
+
+    def run(stream: DataFrame) -> None:
+        ingest_stream(
+            stream, root, f"{root}/checkpoint", extractors(), responses, attempts=attempts
+        ).awaitTermination()
+
+    b.in_turns(b.document_files(spark, folder), "arrival", f"{root}/inbox", 2, run)
+    b.in_turns(b.page_files(spark, folder), "arrival", f"{root}/inbox", 1, run)
+    read = lambda name: spark.read.parquet(tables.table_path(root, name))
+    queue = tracking.review_queue(read("jobs"), read("document_steps"), "node", "status")
+    audit = read("audit_records").groupBy("job_id").agg(F.count(F.lit(1)).alias("n_audit"))
+    entries = F.transform("document_steps", lambda s: F.concat_ws(":", s["step_order"].cast("string"), s["node"], s["status"]))
+    return queue.join(audit, "job_id", "left").select(
+        "job_id", "filename", "rejection_reason", F.array_join(entries, "|").alias("document_steps"), "n_audit"
+    )
+
+
 STREAM_INGEST = f"""
 WITH RECURSIVE {INGEST_CTES}
 SELECT job_id, status, nullif(rejection_reason, '') AS rejection_reason,
@@ -340,8 +363,46 @@ SELECT job_id, status, nullif(rejection_reason, '') AS rejection_reason,
 FROM ingested
 """
 
+STREAM_REVIEW_QUEUE = f"""
+WITH RECURSIVE {ENRICH_CTES},
+steps AS ({_step_rows_sql()}),
+listed AS (
+  SELECT job_id, string_agg(step_order || ':' || node || ':' || status, '|' ORDER BY step_order) AS document_steps,
+    count(*) AS n FROM steps GROUP BY 1)
+SELECT i.job_id, filename, CASE WHEN f.job_id IS NOT NULL THEN '{fv.MSG_ENRICHMENT_FAILED}' || f.last_error
+    ELSE nullif(rejection_reason, '') END AS rejection_reason, document_steps,
+  n + CASE WHEN f.job_id IS NOT NULL THEN 2 ELSE 0 END AS n_audit
+FROM ingested i JOIN listed USING (job_id) LEFT JOIN failed_jobs f ON f.job_id = i.job_id
+WHERE status = 'review' OR f.job_id IS NOT NULL
+"""
+
+
+def enrichment_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What the three steps of enrichment leave in the audit of a run."""
+    run = _enriched(_run(spark, folder), spark, folder)
+    detail = F.col("detail")
+    return tracking.enrichment_audit(run.everything).select(
+        "job_id",
+        "node",
+        "event",
+        F.get_json_object(detail, "$.input_chars").cast("int").alias("input_chars"),
+        F.get_json_object(detail, "$.error").alias("error"),
+    )
+
+
+ENRICHMENT_AUDIT = f"""
+WITH RECURSIVE {ENRICH_CTES},
+done AS (SELECT a.job_id, a.text, r.succeeded, r.last_error FROM accepted a JOIN retried r ON r.job_id = a.job_id)
+SELECT job_id, '{fv.NODE_CLEANER}' AS node, 'passed' AS event, CAST(length(text) AS INTEGER) AS input_chars,
+  CAST(NULL AS VARCHAR) AS error FROM done
+UNION ALL SELECT job_id, '{fv.NODE_ENTITIES}', CASE WHEN succeeded THEN 'passed' ELSE 'failed' END, NULL, last_error FROM done
+UNION ALL SELECT job_id, '{fv.NODE_METADATA}', 'passed', NULL, NULL FROM done WHERE succeeded
+"""
+
 QUERIES = {
     "stream_ingest": stream_ingest,
+    "stream_review_queue": stream_review_queue,
+    "enrichment_audit": enrichment_audit,
     "ingest_cascade": ingest_cascade,
     "vector_ingest": vector_ingest,
     "steps_long": steps_long,
@@ -353,6 +414,8 @@ QUERIES = {
 }
 ORACLES = {
     "stream_ingest": STREAM_INGEST,
+    "stream_review_queue": STREAM_REVIEW_QUEUE,
+    "enrichment_audit": ENRICHMENT_AUDIT,
     "ingest_cascade": INGEST_CASCADE,
     "vector_ingest": VECTOR_INGEST,
     "steps_long": STEPS_LONG,

@@ -17,12 +17,35 @@ from inkgate.plans.ingest import IngestRun
 
 @dataclass(frozen=True)
 class EnrichRun:
-    """``everything``: one row per accepted document, ``entities`` NULL where all attempts
-    failed. ``records`` are the rows to store, ``patches`` send the rest to review."""
+    """``everything``: one row per accepted document with ``created_at``, ``entities`` NULL where all
+    attempts failed."""
 
     everything: DataFrame
-    records: DataFrame
-    patches: DataFrame
+
+    @property
+    def records(self) -> DataFrame:
+        """The rows to store."""
+        done = self.everything.where(F.col("entities").isNotNull())
+        return done.select("job_id", "cleaned_text", "entities", "metadata", "created_at")
+
+    @property
+    def patches(self) -> DataFrame:
+        """What sends the rest to review."""
+
+        def change(value: Column) -> Column:
+            return F.struct(value.cast("string").alias("v"))
+
+        reason = F.concat(
+            F.lit(fv.MSG_ENRICHMENT_FAILED), F.coalesce("last_error", F.lit("no response"))
+        )
+        return self.everything.where(F.col("entities").isNull()).select(
+            "job_id",
+            F.lit("review").alias("status"),
+            change(reason).alias("rejection_reason"),
+            change(F.lit(fv.NODE_ENRICHMENT)).alias("failed_at_node"),
+            change(F.lit(fv.REVIEW_ENRICHMENT_FAILED)).alias("review_action_needed"),
+            F.lit(None).cast("struct<v:string>").alias("extracted_text"),
+        )
 
 
 def accepted_documents(run: IngestRun) -> DataFrame:
@@ -57,23 +80,4 @@ def enrich(
         sha256="sha256",
         extractor="extractor_used",
     )
-    done = F.col("entities").isNotNull()
-    records = everything.where(done).select(
-        "job_id", "cleaned_text", "entities", "metadata", stamp.alias("created_at")
-    )
-
-    def change(value: Column) -> Column:
-        return F.struct(value.cast("string").alias("v"))
-
-    reason = F.concat(
-        F.lit(fv.MSG_ENRICHMENT_FAILED), F.coalesce("last_error", F.lit("no response"))
-    )
-    patches = everything.where(~done).select(
-        "job_id",
-        F.lit("review").alias("status"),
-        change(reason).alias("rejection_reason"),
-        change(F.lit(fv.NODE_ENRICHMENT)).alias("failed_at_node"),
-        change(F.lit(fv.REVIEW_ENRICHMENT_FAILED)).alias("review_action_needed"),
-        F.lit(None).cast("struct<v:string>").alias("extracted_text"),
-    )
-    return EnrichRun(everything, records, patches)
+    return EnrichRun(everything.withColumn("created_at", stamp))

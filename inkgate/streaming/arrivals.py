@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,11 @@ from inkgate.operators import token_similarity as ts
 from inkgate.operators.duplicates import Control, Store, VectorStore, duplicate_control
 from inkgate.operators.extraction import Loader, is_column
 from inkgate.plans.ingest import Lookup, ingest
-from inkgate.plans.persist import finalize_jobs, tracking_tables
+from inkgate.plans.enrich import accepted_documents, enrich
+from inkgate.plans.persist import job_table, tracking_tables
 from inkgate.session import cut, scratch
 from inkgate.sources import tables
+from inkgate.streaming.events import run_events
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -159,13 +162,17 @@ def ingest_batch(
     extractors: Sequence[tuple[str, Column | Loader]],
     responses: DataFrame,
     rules: GateRules,
+    attempts: DataFrame | None = None,
     **hooks: Lookup | None,
 ) -> None:
     """Judge one micro-batch of uploads and write its tables under ``root``.
 
     uploads(job_id, arrival, filename, content, ...) are compared with each other
     and with everything earlier batches accepted, by vectors where the hooks of ``ingest`` name an
-    ``embed``. Every table keeps the batch as a partition that a replay overwrites.
+    ``embed``. With ``attempts`` of the entity model the accepted ones are enriched in the same
+    batch; those that fail go to review. Written are jobs, document_steps, audit_records,
+    refused_audit, hash_records, node_events and enriched_records. Every table keeps the batch as
+    a partition that a replay overwrites.
     """
     spark = uploads.sparkSession
     if hooks.get("embed") is not None:
@@ -176,8 +183,14 @@ def ingest_batch(
         store = open_store(spark, root, batch_id, uploads.select(texts[0].alias("text")))
     run = ingest(uploads, extractors, responses, rules, store=store, **hooks)
     extend_store(run.control, root, batch_id)
-    tables.append_batch(finalize_jobs(run), root, "jobs", batch_id)
-    for name, table in tracking_tables(run.results).items():
+    enriched = None
+    if attempts is not None:
+        enriched = enrich(accepted_documents(run), attempts, rules.enrichment)
+        # read by the job table, the audit and the records
+        enriched = replace(enriched, everything=cut(enriched.everything, "enriched"))
+    tables.append_batch(job_table(uploads, run, enriched), root, "jobs", batch_id)
+    tables.append_batch(run_events(run.results), root, "node_events", batch_id)
+    for name, table in tracking_tables(run.results, enriched).items():
         tables.append_batch(table, root, name, batch_id)
 
 
@@ -188,17 +201,19 @@ def ingest_stream(
     extractors: Sequence[tuple[str, Column | Loader]],
     responses: DataFrame,
     rules: GateRules | None = None,
+    attempts: DataFrame | None = None,
     **hooks: Lookup | None,
 ) -> StreamingQuery:
     """The whole gate over uploads as they arrive, until the source is drained.
 
-    ``hooks`` are those of ``ingest``: mime, language, embed.
+    ``attempts``(job_id, attempt, response) are the entity model's answers; ``hooks`` are those of
+    ``ingest``: mime, language, embed.
     """
     rules = rules or GateRules()
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
-            ingest_batch(batch, batch_id, root, extractors, responses, rules, **hooks)
+            ingest_batch(batch, batch_id, root, extractors, responses, rules, attempts, **hooks)
 
     return watch(uploads, judge, checkpoint)
 
