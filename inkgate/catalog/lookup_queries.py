@@ -100,7 +100,7 @@ WITH sims AS (
   FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY cosine DESC, chunk_id) AS INTEGER) AS rank FROM sims)
-SELECT id, rank, chunk_id, {b.DOC_NAME} AS source, round(cosine, 6) AS cosine
+SELECT id, rank, chunk_id, CASE WHEN doc_id IS NOT NULL THEN {b.DOC_NAME} END AS source, round(cosine, 6) AS cosine
 FROM ranked LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 3
 """
 
