@@ -104,6 +104,7 @@ def _pieces(path: str, end_id: int, max_length: int):
                         seen[size] += 1
                 table = pd.DataFrame(out, columns=["job_id", "start", "length", "ids", "tokens", "turn"])
                 yield table.assign(task=task)
+        encode.rest()
 
     return run
 

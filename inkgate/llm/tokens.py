@@ -11,7 +11,7 @@ from itertools import pairwise
 import numpy as np
 
 # Pieces remembered by a Python worker: those met last, in two halves.
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 400_000
 # New words that are encoded as one text.
 JOINED_WORDS = 200
 
@@ -48,7 +48,8 @@ class Encoder:
     piece; for any other kind whole texts are encoded. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_pieces: int = KNOWN_PIECES):
+        self.most = known_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,7 +112,7 @@ class Encoder:
 
     def _learn(self, pieces: list[list[str]]) -> None:
         """Make ``known`` hold every piece."""
-        if len(self.known) > KNOWN_PIECES // 2:
+        if len(self.known) > self.most // 2:
             self.older, self.known = self.known, {}
         new = set().union(*pieces).difference(self.known)
         again = {p: self.older[p] for p in new if p in self.older}
@@ -124,6 +125,10 @@ class Encoder:
                 part = some[at : at + 20_000]
                 self.known.update(zip(part, ids_of(part), strict=True))
 
+    def rest(self) -> None:
+        """Give back what a worker need not hold between tasks: the pieces not met lately."""
+        self.older = {}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.in_pieces:
@@ -134,6 +139,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, known_pieces: int = KNOWN_PIECES) -> Encoder:
     """The encoder of a Python worker, with what its earlier tasks have learned."""
-    return Encoder(path)
+    return Encoder(path, known_pieces)
