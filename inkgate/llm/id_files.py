@@ -26,6 +26,8 @@ from inkgate.llm.tokens import encoder, vocabulary_size
 
 STRIDE = 256
 BLOCK_IDS = 1 << 17
+# Pieces of text that a worker remembers: some 200 bytes each.
+KNOWN_PIECES = 800_000
 # magic, bytes of the block, first id's place in the corpus, records, ids, bytes of keys, of bits
 _HEAD = "<4sIQIIII"
 _MAGIC = b"IDH1"
@@ -201,7 +203,8 @@ def write_id_files(
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer, KNOWN_PIECES), TaskContext.get().partitionId(), 0
+        sums = np.zeros(vocabulary, np.int64)
         for frame in frames:
             rows = zip(frame["job_id"], frame["cleaned_text"], strict=True)
             for some in slices(rows, lambda r: len(r[1]), 1_000_000):
@@ -210,6 +213,7 @@ def write_id_files(
                     for ids in encode([t for _, t in some])
                 ]
                 sizes = np.array([len(x) for x in found], np.int64)
+                sums += np.bincount(np.concatenate(found), minlength=vocabulary)
                 yield pd.DataFrame(
                     {
                         "job_id": [k for k, _ in some],
@@ -217,26 +221,32 @@ def write_id_files(
                         "start": start + starts_of(sizes),
                         "n": sizes,
                         "ids": [x.tobytes() for x in found],
+                        "counts": None,
                     }
                 )
                 start += int(sizes.sum())
+        # behind the records, one row of what the task counted
+        counted = sums.astype("<u8").tobytes()
+        yield pd.DataFrame({"job_id": [None], "part": part, "start": start, "n": 0, "ids": [None], "counts": [counted]})
 
     ordered = table.repartitionByRange(ranges, "job_id").sortWithinPartitions("job_id")
     held = scratch_path(spark, "ids")
-    # zstd: ids of a large corpus are written once and read twice
-    schema = "job_id string, part int, start long, n long, ids binary"
+    # zstd: ids of a large corpus are written once and read again
+    schema = "job_id string, part int, start long, n long, ids binary, counts binary"
     ids_as_text(ordered, "job_id").mapInPandas(tokens, schema).write.option("compression", "zstd").parquet(held)
-    encoded = spark.read.schema(schema).parquet(held)
+    written = spark.read.schema(schema).parquet(held)
+    encoded = written.where("counts IS NULL").drop("counts")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(vocabulary, np.int64)
         for frame in frames:
-            for some in slices(frame["ids"], len, 8_000_000):
-                sums += np.bincount(np.frombuffer(b"".join(some), width), minlength=vocabulary)
+            for counted in frame["counts"]:
+                sums += np.frombuffer(counted, "<u8").astype(np.int64)
         used = np.flatnonzero(sums)
         yield pd.DataFrame({"id": used, "n": sums[used]})
 
-    total = encoded.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = written.select("counts").where("counts IS NOT NULL")
+    total = counted.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for row in total.collect():
         counts[row["id"]] = row["n"]
@@ -267,7 +277,8 @@ def write_id_files(
 def read_id_files(spark: SparkSession, path: str, job_id_type: str = "long") -> DataFrame:
     """One row per record of the files: job_id, start, ids (little-endian unsigned 32-bit).
 
-    Job ids are integers or strings.
+    Job ids are integers or strings, null where there was none; empty texts are an end id alone.
+    Files without records give no rows.
     """
     book = b"".join(r["content"] for r in read_bytes(spark, f"{path}/codes").collect())
     lengths = np.frombuffer(zlib.decompress(book[:-1]), np.uint8)
